@@ -21,6 +21,9 @@ TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VA
          "date": "DATE", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP"}
 
 
+TIMES: list[float] = []
+
+
 def database(folder: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for name in TABLES:
@@ -42,10 +45,12 @@ def _sort_key(row):
 
 def differences(df, con, sql: str) -> list[str]:
     """Human-readable differences in names, types, row count or values."""
+    clock = [time.time()]
     result = con.execute(sql)
     names = [d[0] for d in result.description]
     types = dict(zip(names, [str(d[1]) for d in result.description]))
     expected_rows = result.fetchall()
+    clock.append(time.time())
     out = []
     if sorted(names) != sorted(df.columns):
         return [f"columns {sorted(df.columns)} vs {sorted(names)}"]
@@ -55,7 +60,10 @@ def differences(df, con, sql: str) -> list[str]:
             out.append(f"type of {name}: {kind} vs {types[name]}")
     pos = [names.index(c) for c in order]
     expected = sorted((tuple(_plain(r[i]) for i in pos) for r in expected_rows), key=_sort_key)
-    actual = sorted((tuple(_plain(v) for v in r) for r in df.select(*order).collect()), key=_sort_key)
+    collected = df.select(*order).collect()
+    clock.append(time.time())
+    TIMES[:] = [clock[1] - clock[0], clock[2] - clock[1], len(expected)]
+    actual = sorted((tuple(_plain(v) for v in r) for r in collected), key=_sort_key)
     if len(actual) != len(expected):
         out.append(f"rows {len(actual)} vs {len(expected)}")
     if actual != expected:
@@ -80,7 +88,7 @@ def main(argv: list[str]) -> int:
             df = queries[name](spark, folder)
             if name in sqls:
                 found = differences(df, con, sqls[name])
-                rows = ""
+                rows = "sql %.1fs, spark %.1fs, %d rows" % tuple(TIMES)
             else:
                 rows, found = f"rows only: {len(df.collect())}", []
         except Exception as error:  # noqa: BLE001

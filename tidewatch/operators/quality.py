@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators.blocks import BLOCK_ROWS, at_home, index_rows, lane, spread
+from tidewatch.operators.blocks import BLOCK_ROWS, at_home, index_rows, lane, spread, with_totals
 
 
 def calendar_gaps(bar_rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -21,3 +21,42 @@ def calendar_gaps(bar_rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFram
         longest.alias("longest_step"),
         (longest == 1).alias("is_contiguous"),
     )
+
+
+def reconstruction_error(wide: DataFrame, count: int) -> DataFrame:
+    """Largest distance between a series and the sum of its components, also as percent of range."""
+    total = F.aggregate(F.array(*[f"c{j}" for j in range(count)]), F.lit(0.0), lambda acc, v: acc + v)
+    off = F.abs(total - F.col("x"))
+    return wide.groupBy("series_id").agg(
+        F.max(off).alias("recon_max_err"),
+        (F.max(off) * 100 / F.nullif(F.max("x") - F.min("x"), F.lit(0.0))).alias("recon_pct_of_range"),
+        F.lit(count).cast("bigint").alias("n_components"),
+    )
+
+
+def zero_crossings(wide: DataFrame, count: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Sign changes of every demeaned component along its series."""
+    columns = [f"c{j}" for j in range(count)]
+    rows = with_totals(wide, [F.avg(c).alias(f"_m_{c}") for c in columns], block_rows=block_rows)
+    signs = rows.select(
+        "series_id", "idx", *[F.signum(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in columns]
+    )
+    moved = spread(signs, before=1, block_rows=block_rows)
+    moved = moved.withColumns({f"_p_{c}": F.lag(c).over(lane()) for c in columns})
+    counted = at_home(moved, block_rows).groupBy("series_id").agg(
+        *[F.count_if(F.col(c) != F.col(f"_p_{c}")).alias(c) for c in columns]
+    )
+    pairs = F.array(*[F.struct(F.lit(j).alias("comp"), F.col(c).alias("crossings")) for j, c in enumerate(columns)])
+    return counted.select("series_id", F.inline(pairs))
+
+
+def run_spread(series: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
+    """Largest difference between two runs of a decomposition, also as percent of range."""
+    pair = first.join(second.withColumnRenamed("c", "_other"), ["series_id", "comp", "idx"])
+    worst = pair.groupBy("series_id").agg(F.max(F.abs(F.col("c") - F.col("_other"))).alias("max_abs_diff"))
+    ranges = series.groupBy("series_id").agg((F.max("x") - F.min("x")).alias("_range"))
+    return worst.join(ranges, "series_id").select(
+        "series_id",
+        "max_abs_diff",
+        (F.col("max_abs_diff") * 100 / F.nullif(F.col("_range"), F.lit(0.0))).alias("pct_of_range"),
+    )

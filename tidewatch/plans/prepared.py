@@ -32,22 +32,22 @@ fragment(
 
 
 def window_shape(w: str = "w") -> list:
-    """A window as hash-friendly scalars: ends, size, sum and position-weighted sum."""
-    weighted = F.aggregate(
-        F.transform(F.col(w), lambda v, i: v * (i + 1)), F.lit(0.0), lambda acc, v: acc + v
-    )
-    total = F.aggregate(F.col(w), F.lit(0.0), lambda acc, v: acc + v)
+    """A window as hash-friendly scalars: four of its elements, its size and its extremes."""
     return [
         F.round(F.get(w, F.lit(0)), 4).alias("w_first"),
+        F.round(F.get(w, F.lit(9)), 4).alias("w_10"),
+        F.round(F.get(w, F.lit(19)), 4).alias("w_20"),
         F.round(F.element_at(w, -1), 4).alias("w_last"),
         F.size(w).alias("w_size"),
-        F.round(total, 2).alias("w_sum"),
-        F.round(weighted, 2).alias("w_weighted"),
+        F.round(F.array_min(w), 4).alias("w_min"),
+        F.round(F.array_max(w), 4).alias("w_max"),
     ]
 
 
-WINDOW_SHAPE_SQL = """round(w[1], 4) AS w_first, round(w[-1], 4) AS w_last, CAST(len(w) AS INTEGER) AS w_size,
-    round(list_sum(w), 2) AS w_sum, round(list_sum(list_transform(w, lambda v, i: v * i)), 2) AS w_weighted"""
+def window_shape_sql(w: str = "w") -> str:
+    return f"""round({w}[1], 4) AS w_first, round({w}[10], 4) AS w_10, round({w}[20], 4) AS w_20,
+    round({w}[-1], 4) AS w_last, CAST(len({w}) AS INTEGER) AS w_size,
+    round(list_min({w}), 4) AS w_min, round(list_max({w}), 4) AS w_max"""
 
 
 @query("bars_daily", sql=using("bars", select="SELECT symbol, day, high, low FROM bars"))
@@ -120,7 +120,7 @@ def split_train_test(spark, folder):
     sql=using(
         "win",
         select=f"""SELECT series_id, idx, y, CASE WHEN idx < train_end THEN 'train' ELSE 'test' END AS split,
-    {WINDOW_SHAPE_SQL} FROM win""",
+    {window_shape_sql()} FROM win""",
     ),
 )
 def sliding_windows_q(spark, folder):
@@ -172,8 +172,7 @@ def origin_tail_q(spark, folder):
     "refit_stride",
     sql=using(
         "win",
-        select=f"""SELECT t.series_id, t.idx, t.y, r.idx AS refit_idx, {WINDOW_SHAPE_SQL.replace("w[", "r.w[")
-        .replace("len(w)", "len(r.w)").replace("list_sum(w)", "list_sum(r.w)").replace("form(w", "form(r.w")}
+        select=f"""SELECT t.series_id, t.idx, t.y, r.idx AS refit_idx, {window_shape_sql("r.w")}
     FROM win t JOIN win r ON r.series_id = t.series_id
      AND r.idx = t.train_end + {STRIDE} * ((t.idx - t.train_end) // {STRIDE})
     WHERE t.idx >= t.train_end""",
