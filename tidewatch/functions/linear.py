@@ -14,7 +14,7 @@ def moments(y: str, features: Sequence[str]) -> list[Column]:
     out = [F.avg(c).alias(f"_m{i}") for i, c in enumerate(names)]
     for i, a in enumerate(names):
         for j, b in enumerate(names):
-            if i <= j and j > 0:
+            if i <= j:
                 out.append((F.var_pop(a) if i == j else F.covar_pop(a, b)).alias(f"_v{i}{j}"))
     return out
 
