@@ -83,6 +83,7 @@ def walk_forward_windows(
     series: DataFrame,
     half_widths: Sequence[int] = HALF_WIDTHS,
     window: int = WINDOW,
+    trim_end_to_even: bool = False,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Windows in which nothing at or after the forecast row is used.
@@ -90,12 +91,16 @@ def walk_forward_windows(
     Only the last rows of each origin's decomposition are needed, and each of them
     is a mean over a bounded stretch, so the work is linear in the length of the
     series: running sums inside a block give every mean by one subtraction.
+
+    ``trim_end_to_even`` reproduces a known fault: cutting odd-length histories at
+    their newest end, so that windows of odd rows end one row early and targets of
+    even rows repeat the row before.
     """
     count = len(half_widths) + 1
     marked = series.withColumn("test_start", F.col("train_end"))
     train = _windows_of_decomposed(marked.where(F.col("idx") < F.col("train_end")), half_widths, window, block_rows)
 
-    reach = window + max(half_widths) + 1
+    reach = window + max(half_widths) + 2
     rows = spread(marked, before=reach, block_rows=block_rows)
     order = lane()
     rows = rows.withColumn("_run", F.sum("x").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -104,6 +109,8 @@ def walk_forward_windows(
     rows = at_home(rows, block_rows).where(F.col("idx") >= F.col("train_end"))
 
     t = F.col("idx")
+    lost = t % 2 if trim_end_to_even else F.lit(0)
+    target = t - (t + 1) % 2 if trim_end_to_even else t
     zero = F.size("_xs") - 1 - t  # array slot of index position 0; negative once rows have dropped out
 
     def level(s: Column, half: int, newest: Column) -> Column:
@@ -119,12 +126,12 @@ def walk_forward_windows(
     widths = (0, *half_widths)
 
     def levels_of_window(half: int) -> Column:
-        return F.transform(F.sequence(F.lit(-window), F.lit(-1)), lambda o: level(t + o, half, t - 1))
+        return F.transform(F.sequence(F.lit(-window), F.lit(-1)), lambda o: level(t - lost + o, half, t - lost - 1))
 
     rows = rows.withColumns(
         {
             **{f"_l{j}": levels_of_window(h) for j, h in enumerate(widths)},
-            **{f"_t{j}": level(t, h, t) for j, h in enumerate(widths)},
+            **{f"_t{j}": level(target, h, target) for j, h in enumerate(widths)},
         }
     )
     last = count - 1

@@ -70,6 +70,11 @@ def both_windows(spark: SparkSession, folder: str) -> DataFrame:
     return full_series_windows(rows, trim_newest=1).unionByName(walk_forward_windows(rows))
 
 
+def delivered_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Walk-forward windows with the known fault of odd-length histories."""
+    return walk_forward_windows(walk(spark, folder), trim_end_to_even=True)
+
+
 def parts(spark: SparkSession, folder: str) -> DataFrame:
     """Component forecasts of two linear models under both protocols."""
     return component_forecasts(both_windows(spark, folder))
@@ -114,7 +119,7 @@ fragment(
     any_value(e.n) AS n, {", ".join(f"avg(CASE WHEN abs(q.idx - s.idx) <= {h} THEN q.x END) AS l{h}" for h in HALF_WIDTHS)}
     FROM walk e JOIN walk s ON s.series_id = e.series_id AND s.idx BETWEEN e.idx - 29 AND e.idx
     JOIN walk q ON q.series_id = s.series_id AND q.idx BETWEEN s.idx - 16 AND s.idx + 16 AND q.idx <= e.idx
-    WHERE e.idx >= e.train_end - 1 GROUP BY 1, 2, 3""",
+    WHERE e.idx >= e.train_end - 2 GROUP BY 1, 2, 3""",
 )
 fragment(
     "tail_comps",
@@ -127,7 +132,18 @@ fragment(
     "tail_comps",
     sql="""SELECT f.series_id, f.comp, f.t AS idx, f.w, y.c AS y, y.x, y.n, y.train_end AS test_start FROM
     (SELECT series_id, comp, e + 1 AS t, list(c ORDER BY s) AS w FROM tail_comps GROUP BY 1, 2, 3) f
-    JOIN tail_comps y ON y.series_id = f.series_id AND y.comp = f.comp AND y.e = f.t AND y.s = f.t""",
+    JOIN tail_comps y ON y.series_id = f.series_id AND y.comp = f.comp AND y.e = f.t AND y.s = f.t
+    WHERE f.t >= y.train_end""",
+)
+fragment(
+    "walk_delivered",
+    "tail_comps",
+    "walk",
+    sql="""SELECT r.series_id, CAST(f.comp AS INTEGER) AS comp, r.idx, f.w, y.c AS y, r.x, r.n, r.train_end AS test_start
+    FROM walk r JOIN (SELECT series_id, comp, e, list(c ORDER BY s) AS w FROM tail_comps GROUP BY 1, 2, 3) f
+      ON f.series_id = r.series_id AND f.e = r.idx - 1 - r.idx % 2
+    JOIN tail_comps y ON y.series_id = r.series_id AND y.comp = f.comp AND y.e = r.idx - (r.idx + 1) % 2 AND y.s = y.e
+    WHERE r.idx >= r.train_end""",
 )
 fragment(
     "wins",
