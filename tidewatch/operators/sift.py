@@ -51,7 +51,9 @@ def linear_envelopes(rows: DataFrame, value: str = "x", block_rows: int = BLOCK_
     )
     whole = Window.partitionBy("series_id")
     earlier = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    later = whole.orderBy("block").rowsBetween(1, Window.unboundedFollowing)
+    # Looking ahead is a running frame in reverse order: linear, where a frame that
+    # ends at the last row would be evaluated from scratch for every row.
+    later = whole.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     carried = per_block.select(
         "series_id",
         "block",
@@ -62,11 +64,13 @@ def linear_envelopes(rows: DataFrame, value: str = "x", block_rows: int = BLOCK_
     )
     joined = marked.join(carried, ["series_id", "block"])
     so_far = lane().rowsBetween(Window.unboundedPreceding, 0)
-    from_here = lane().rowsBetween(0, Window.unboundedFollowing)
+    from_here = (
+        Window.partitionBy("series_id", "block").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0)
+    )
 
     def envelope(c: str) -> Column:
         before = F.coalesce(F.last(c, ignorenulls=True).over(so_far), F.col(f"{c}_before"))
-        after = F.coalesce(F.first(c, ignorenulls=True).over(from_here), F.col(f"{c}_after"))
+        after = F.coalesce(F.last(c, ignorenulls=True).over(from_here), F.col(f"{c}_after"))
         return F.when(F.col(f"{c}_total") < _FEWEST_EXTREMA, F.col("_mean")).otherwise(_interpolate(before, after))
 
     kept = [c for c in rows.columns if c != "block"]

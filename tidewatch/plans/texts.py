@@ -10,22 +10,26 @@ from tidewatch.plans.scored import rounded
 from tidewatch.sources.tables import table
 
 
-def _grams_sql(source: str, key: str, sizes) -> str:
-    return f"""SELECT {key}, n, list_distinct(list_transform(range(1, greatest(len(w) - n + 2, 1)),
-    lambda i: array_to_string(list_slice(w, i, i + n - 1), ' '))) AS grams FROM
-    (SELECT {key}, regexp_extract_all(lower(text), '[a-z]+') AS w FROM {source}),
-    (SELECT unnest([{", ".join(map(str, sizes))}]) AS n)"""
+def _grams_sql(source: str, key: str) -> str:
+    leads = ", ".join(f"lead(word, {k}) OVER o AS w{k}" for k in range(1, max(SIZES)))
+    sizes = " UNION ".join(
+        f"SELECT {key}, {n} AS n, concat_ws(' ', word, {', '.join(f'w{k}' for k in range(1, n))}) AS gram"
+        f" FROM led WHERE w{n - 1} IS NOT NULL"
+        for n in SIZES
+    )
+    return f"""WITH led AS MATERIALIZED (SELECT {key}, word, {leads} FROM
+    (SELECT {key}, unnest(w) AS word, unnest(range(len(w))) AS i FROM
+      (SELECT {key}, regexp_extract_all(lower(text), '[a-z]+') AS w FROM {source}))
+    WINDOW o AS (PARTITION BY {key} ORDER BY i)) {sizes}"""
 
 
-fragment("doc_grams", sql=_grams_sql("documents", "doc_id", SIZES))
-fragment("item_grams", sql=_grams_sql("benchmark", "item_id", SIZES))
-fragment("known_grams", "item_grams", sql="SELECT DISTINCT n, unnest(grams) AS gram FROM item_grams")
+fragment("doc_grams", sql=_grams_sql("documents", "doc_id"))
+fragment("item_grams", sql=_grams_sql("benchmark", "item_id"))
 fragment(
     "doc_hits",
     "doc_grams",
-    "known_grams",
-    sql="""SELECT doc_id, d.n, gram FROM (SELECT doc_id, n, unnest(grams) AS gram FROM doc_grams) d
-    JOIN known_grams k USING (n, gram)""",
+    "item_grams",
+    sql="SELECT doc_id, n, gram FROM doc_grams SEMI JOIN item_grams USING (n, gram)",
 )
 
 
@@ -33,9 +37,11 @@ fragment(
     "ngram_overlap",
     sql=using(
         "doc_hits",
-        select="""SELECT d.doc_id, CAST(d.n AS INTEGER) AS n, CAST(len(d.grams) AS INTEGER) AS n_grams, coalesce(h.k, 0) AS n_shared,
-    round(coalesce(h.k, 0) * 100.0 / greatest(len(d.grams), 1), 6) AS share_pct
-    FROM doc_grams d LEFT JOIN (SELECT doc_id, n, count(*) AS k FROM doc_hits GROUP BY 1, 2) h USING (doc_id, n)""",
+        select=f"""SELECT d.doc_id, CAST(d.n AS INTEGER) AS n, CAST(coalesce(g.k, 0) AS INTEGER) AS n_grams,
+    coalesce(h.k, 0) AS n_shared, round(coalesce(h.k, 0) * 100.0 / greatest(coalesce(g.k, 0), 1), 6) AS share_pct
+    FROM (SELECT doc_id, unnest([{", ".join(map(str, SIZES))}]) AS n FROM documents) d
+    LEFT JOIN (SELECT doc_id, n, count(*) AS k FROM doc_grams GROUP BY 1, 2) g USING (doc_id, n)
+    LEFT JOIN (SELECT doc_id, n, count(*) AS k FROM doc_hits GROUP BY 1, 2) h USING (doc_id, n)""",
     ),
 )
 def ngram_overlap_q(spark, folder):
@@ -49,7 +55,7 @@ def ngram_overlap_q(spark, folder):
     "ngram_listing",
     sql=using(
         "doc_hits",
-        select="""SELECT item_id, gram, n_texts FROM (SELECT item_id, unnest(grams) AS gram FROM item_grams WHERE n = 7)
+        select="""SELECT item_id, gram, n_texts FROM (SELECT item_id, gram FROM item_grams WHERE n = 7)
     JOIN (SELECT gram, count(*) AS n_texts FROM doc_hits WHERE n = 7 GROUP BY 1) USING (gram)""",
     ),
 )
