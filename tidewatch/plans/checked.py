@@ -106,11 +106,11 @@ fragment(
     sql=using(
         "agreement3",
         select="""SELECT series_id, protocol, n, round(off, 2) + CAST(0 AS DOUBLE) AS max_abs_diff,
-    round(tolerance, 4) AS tolerance, off <= tolerance AS agrees FROM agreement3""",
+    round(tolerance, 6) AS tolerance, off <= tolerance AS agrees FROM agreement3""",
     ),
 )
 def target_agreement_q(spark, folder):
-    return rounded(target_agreement(three_datasets(spark, folder), walk(spark, folder)), 4, max_abs_diff=2)
+    return rounded(target_agreement(three_datasets(spark, folder), walk(spark, folder)), 6, max_abs_diff=2)
 
 
 fragment(
