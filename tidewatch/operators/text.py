@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.sources.tables import use_all_cores
+
 SIZES = (6, 7, 8, 10)
 _WORD = "[a-z]+"
 
@@ -27,7 +29,7 @@ def distinct_ngrams(word_list: str, n: int) -> Column:
 
 def with_ngrams(texts: DataFrame, key: str, text: str, sizes: Sequence[int] = SIZES) -> DataFrame:
     """``(key, n, grams)``: one row per text and size, computed inside the row."""
-    worded = texts.select(key, words(text).alias("_words"))
+    worded = use_all_cores(texts.select(key, text)).select(key, words(text).alias("_words"))
     rows = F.array(*[F.struct(F.lit(n).alias("n"), distinct_ngrams("_words", n).alias("grams")) for n in sizes])
     return worded.select(key, F.inline(rows))
 

@@ -32,3 +32,13 @@ def forget(spark: SparkSession) -> None:
     """Release every remembered table of this session."""
     for key in [k for k in _memo if k[0] == spark.sparkContext.applicationId]:
         _memo.pop(key).unpersist()
+
+
+def use_all_cores(df: DataFrame) -> DataFrame:
+    """Redistribute rows when the files give fewer input splits than there are cores.
+
+    For work that costs far more per row than moving the row.  A table with enough
+    splits is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
