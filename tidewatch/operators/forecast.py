@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.linear import coefficients, moments
 from tidewatch.operators.blocks import BLOCK_ROWS, join_totals
-from tidewatch.operators.scaling import DATASET_COMPONENT, in_training, last_value, last_value_scales, with_window_moments
+from tidewatch.operators.scaling import DATASET_COMPONENT, last_value, last_value_scales, once, training_elements
 
 MODELS = {"lag1": 1, "lag2": 2}
 DATASET_MODEL = ("series_id", "protocol", "model")
@@ -27,9 +27,9 @@ def component_forecasts(
     most = max(models.values())
     lags = {f"_f{k}": F.element_at("w", -1 - k) - last_value() for k in range(1, most + 1)}
     rows = windows.withColumns({"last": last_value(), "_dy": F.col("y") - last_value(), **lags})
-    fitted = rows.withColumns({c: in_training(F.col(c)) for c in ("_dy", *lags)})
-    totals = with_window_moments(fitted).groupBy(*DATASET_COMPONENT).agg(
-        F.max("idx").alias("_last_idx"), *last_value_scales(), *moments("_dy", list(lags))
+    elements = training_elements(rows).withColumns({c: once(F.col(c)) for c in ("_dy", *lags)})
+    totals = elements.groupBy(*DATASET_COMPONENT).agg(
+        (F.max("n") - 1).alias("_last_idx"), *last_value_scales(), *moments("_dy", list(lags))
     )
     solved = totals
     for name, k in models.items():

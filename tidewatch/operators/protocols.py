@@ -110,28 +110,46 @@ def walk_forward_windows(
 
     t = F.col("idx")
     lost = t % 2 if trim_end_to_even else F.lit(0)
+    end = t - lost - 1  # newest row a window may use
     target = t - (t + 1) % 2 if trim_end_to_even else t
-    zero = F.size("_xs") - 1 - t  # array slot of index position 0; negative once rows have dropped out
 
-    def level(s: Column, half: int, newest: Column) -> Column:
-        """Mean around position ``s`` of a history that ends at ``newest``."""
-        if half == 0:
-            return F.get("_xs", zero + s)
-        last = F.least(s + half, newest)
-        first = F.greatest(s - half, F.lit(0))
-        return (F.get("_runs", zero + last) - F.coalesce(F.get("_runs", zero + first - 1), F.lit(0.0))) / (
-            last - first + 1
-        )
+    # Slot q - t + reach + 1 of the padded sums holds position q; the sum before the
+    # first row of a series is zero, which the padding supplies.
+    missing = F.lit(reach + 1) - F.size("_runs")
+    padded = F.when(missing > 0, F.concat(F.array_repeat(F.lit(0.0), missing), F.col("_runs"))).otherwise(F.col("_runs"))
+    rows = rows.withColumn("_sums", padded)
 
-    widths = (0, *half_widths)
+    def sum_to(position: Column) -> Column:
+        return F.get("_sums", position - t + reach)
 
     def levels_of_window(half: int) -> Column:
-        return F.transform(F.sequence(F.lit(-window), F.lit(-1)), lambda o: level(t - lost + o, half, t - lost - 1))
+        """Means around each window position of a history that ends at ``end``."""
+        if half == 0:
+            return F.slice("_xs", -(lost + window + 1), F.lit(window))
+        inside = max(window - half, 0)
+        cut = F.array_repeat(sum_to(end), window - inside)
+        upper = F.concat(F.slice("_sums", F.lit(reach + 1 - window + half) - lost, F.lit(inside)), cut)
+        lower = F.slice("_sums", F.lit(reach - window - half) - lost, F.lit(window))
+        behind = [min(half, window - 1 - k) for k in range(window)]
+        full = F.array(*[F.lit(float(half + b + 1)) for b in behind])
+        short = F.transform(
+            F.array(*[F.lit(b) for b in behind]),
+            lambda b, k: (b + 1 + F.least(F.lit(half), end - window + 1 + k)).cast("double"),
+        )
+        counts = F.when(t >= reach, full).otherwise(short)
+        return F.zip_with(F.zip_with(upper, lower, lambda a, b: a - b), counts, lambda s, c: s / c)
+
+    def level_of_target(half: int) -> Column:
+        if half == 0:
+            return F.element_at("_xs", -(t - target) - 1)
+        first = F.greatest(target - half, F.lit(0))
+        return (sum_to(target) - F.coalesce(sum_to(first - 1), F.lit(0.0))) / (target - first + 1)
 
+    widths = (0, *half_widths)
     rows = rows.withColumns(
         {
             **{f"_l{j}": levels_of_window(h) for j, h in enumerate(widths)},
-            **{f"_t{j}": level(target, h, target) for j, h in enumerate(widths)},
+            **{f"_t{j}": level_of_target(h) for j, h in enumerate(widths)},
         }
     )
     last = count - 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators.blocks import BLOCK_ROWS, with_totals
+from tidewatch.operators.blocks import BLOCK_ROWS, join_totals, with_totals
 
 DATASET_COMPONENT = ("series_id", "protocol", "comp")
 
@@ -18,31 +18,27 @@ def in_training(value: Column) -> Column:
     return F.when(F.col("split") == "train", value)
 
 
-def with_window_moments(windows: DataFrame) -> DataFrame:
-    """Add ``_dev``: total and squares of the window relative to its last value, in one pass over it."""
-    last = F.element_at("w", -1)
-    start = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("squares"))
-    return windows.withColumn(
-        "_dev",
-        F.aggregate(
-            F.transform("w", lambda v: v - last),
-            start,
-            lambda acc, d: F.struct((acc["total"] + d).alias("total"), (acc["squares"] + d * d).alias("squares")),
-        ),
-    )
+def training_elements(windows: DataFrame) -> DataFrame:
+    """Training windows with one row per element: ``pos``, ``dev`` from the last value.
+
+    Feeds aggregates only, so the extra rows are combined where they arise and never
+    shuffled.  ``once(c)`` selects a column's value a single time per window.
+    """
+    rows = windows.where(F.col("split") == "train").withColumn("last", last_value())
+    return rows.select("*", F.posexplode("w").alias("pos", "_v")).withColumn("dev", F.col("_v") - F.col("last"))
+
+
+def once(value: Column) -> Column:
+    return F.when(F.col("pos") == 0, value)
 
 
 def last_value_scales() -> list[Column]:
     """``s_in``, ``s_out``: spread of all training deviations from each window's last value.
 
-    The spread over all window elements pools the variance inside each window with
-    the variance of the window means, so no window is exploded; needs the column of
-    ``with_window_moments``.  Zero becomes 1.
+    Aggregates over ``training_elements``; a spread of zero becomes 1.
     """
-    mean = F.col("_dev")["total"] / F.size("w")
-    inside = F.greatest(F.col("_dev")["squares"] / F.size("w") - mean * mean, F.lit(0.0))
-    s_in = F.sqrt(F.avg(in_training(inside)) + F.var_pop(in_training(mean)))
-    s_out = F.stddev_pop(in_training(F.col("y") - last_value()))
+    s_in = F.stddev_pop("dev")
+    s_out = F.stddev_pop(once(F.col("y") - F.col("last")))
     return [
         F.when(s_in > 0, s_in).otherwise(1.0).alias("s_in"),
         F.when(s_out > 0, s_out).otherwise(1.0).alias("s_out"),
@@ -52,8 +48,10 @@ def last_value_scales() -> list[Column]:
 def scale_windows(windows: DataFrame, method: str = "last_value", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add the scaled window ``sw`` and scaled target ``sy``; both scales come from training rows."""
     if method == "last_value":
-        moments = with_window_moments(windows)
-        rows = with_totals(moments, last_value_scales(), DATASET_COMPONENT, block_rows).drop("_dev")
+        scales = training_elements(windows).groupBy(*DATASET_COMPONENT).agg(
+            (F.max("n") - 1).alias("_last_idx"), *last_value_scales()
+        )
+        rows = join_totals(windows, scales, "_last_idx", DATASET_COMPONENT, block_rows)
         return rows.withColumns(
             {
                 "sw": F.transform("w", lambda v: (v - last_value()) / F.col("s_in")),

@@ -8,7 +8,7 @@ from tidewatch.operators.blocks import at_home, lane, spread, with_totals
 from tidewatch.operators.centred import HALF_WIDTHS, decompose_centred, long_components
 from tidewatch.operators.forecast import bias_corrected
 from tidewatch.operators.protocols import full_series_windows, walk_forward_windows
-from tidewatch.operators.scaling import out_of_range_share, scale_windows, unscale, with_window_moments
+from tidewatch.operators.scaling import once, out_of_range_share, scale_windows, unscale
 from tidewatch.operators.scoring import score
 from tidewatch.plans.inputs import COMPONENTS, both_windows, forecasts, parts, walk
 from tidewatch.plans.prepared import window_shape, window_shape_sql
@@ -133,19 +133,15 @@ def scale_last_value(spark, folder):
 
 
 def _scale_summary(scaled, scale_columns, digits):
-    """Pooled mean and deviation of scaled inputs and targets, without exploding windows."""
-    scaled = with_window_moments(scaled.drop("w").withColumnRenamed("sw", "w")).withColumn(
-        "_shift", F.element_at("w", -1)
-    )
-    mean = F.col("_shift") + F.col("_dev")["total"] / F.size("w")
-    inside = F.col("_dev")["squares"] / F.size("w") - F.pow(F.col("_dev")["total"] / F.size("w"), F.lit(2))
-    return scaled.groupBy("series_id", "protocol", "comp", "split").agg(
-        F.count(F.lit(1)).alias("n"),
+    """Mean and deviation of scaled inputs and targets; elements are combined before the shuffle."""
+    elements = scaled.select("series_id", "protocol", "comp", "split", "sy", *scale_columns, F.posexplode("sw").alias("pos", "v"))
+    return elements.groupBy("series_id", "protocol", "comp", "split").agg(
+        F.count_if(F.col("pos") == 0).alias("n"),
         *[F.round(F.max(c), digits).alias(c) for c in scale_columns],
-        F.round(F.avg(mean), 6).alias("sw_mean"),
-        F.round(F.sqrt(F.avg(inside) + F.var_pop(mean)), 6).alias("sw_std"),
-        F.round(F.avg("sy"), 6).alias("sy_mean"),
-        F.round(F.stddev_pop("sy"), 6).alias("sy_std"),
+        F.round(F.avg("v"), 6).alias("sw_mean"),
+        F.round(F.stddev_pop("v"), 6).alias("sw_std"),
+        F.round(F.avg(once(F.col("sy"))), 6).alias("sy_mean"),
+        F.round(F.stddev_pop(once(F.col("sy"))), 6).alias("sy_std"),
     )
 
 
