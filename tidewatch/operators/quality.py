@@ -261,10 +261,18 @@ def dropped_origins(expected: DataFrame, kept: DataFrame) -> DataFrame:
     return expected.join(kept, ["series_id", "origin"], "left_anti")
 
 
-def expected_origins(series: DataFrame) -> DataFrame:
-    """Every test origin of every series, generated from its length and split."""
+def expected_origins(series: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Every test origin of every series, generated from its length and split.
+
+    One row per series becomes one per block, those are spread over the tasks, and
+    each block lists its own origins: a long series is never one array or one task.
+    """
     bounds = series.groupBy("series_id").agg(F.max("train_end").alias("_a"), F.max("idx").alias("_b"))
-    return bounds.select("series_id", F.explode(F.sequence("_a", "_b")).alias("origin"))
+    first, last = (F.col("_a") / block_rows).cast("int"), (F.col("_b") / block_rows).cast("int")
+    blocks = bounds.withColumn("block", F.explode(F.sequence(first, last))).repartition("series_id", "block")
+    low = F.greatest(F.col("_a"), F.col("block") * block_rows)
+    high = F.least(F.col("_b"), (F.col("block") + 1) * block_rows - 1)
+    return blocks.select("series_id", F.explode(F.sequence(low, high)).alias("origin"))
 
 
 def drop_counts(expected: DataFrame, kept: DataFrame) -> DataFrame:
@@ -324,9 +332,9 @@ def recover_index(targets: DataFrame, series: DataFrame, keys: Sequence[str], bl
             == F.col("_fi")
         )
     )
-    placed = targets.join(candidates.select(*keys, "n", "_first"), list(keys)).withColumn(
-        "idx", F.col("_first") + F.col("row")
-    )
+    found = candidates.select(*keys, "n", "_first", (F.col("n") - 1).alias("_last_row"))
+    placed = join_totals(targets.withColumn("idx", F.col("row")), found, "_last_row", keys, block_rows)
+    placed = placed.withColumn("idx", F.col("_first") + F.col("row")).drop("block")
     verified = placed.join(series.select("series_id", "idx", "x"), ["series_id", "idx"])
     return (
         verified.groupBy(*keys, "n", "_first")

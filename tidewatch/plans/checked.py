@@ -317,7 +317,8 @@ def recover_index_q(spark, folder):
 def part_settings(spark, folder):
     """Settings of every component model, with one odd setting and one missing part."""
     s, p, c = F.col("series_id"), F.col("protocol"), F.col("comp")
-    rows = parts(spark, folder).select("series_id", "protocol", "model", "comp").distinct()
+    rows = both_windows(spark, folder).select("series_id", "protocol", "comp").distinct()
+    rows = rows.withColumn("model", F.explode(F.array(*[F.lit(m) for m in MODELS])))
     rows = rows.where(~((s == "R_Low") & (p == "full_series") & (c == 5)))
     odd = (s == "A_High") & (p == "walk_forward") & (c == 2)
     return rows.select(
