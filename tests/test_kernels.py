@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests import brute
+from tidewatch.operators.decompose import COLUMNS, decompose, reconstruction
 from tidewatch.operators.ensemble import antithetic_realisations, ensemble_mean, fit_components
 from tidewatch.operators.grouped import (
     _spline,
@@ -17,6 +18,7 @@ from tidewatch.operators.grouped import (
     walk_forward_sifted,
     with_segments,
 )
+from tidewatch.operators.prepare import synthetic_series
 
 
 def price(n=400, seed=0):
@@ -136,3 +138,23 @@ def test_sifted_walk_forward_is_causal_and_sums(spark, series):
     for t in (326, 350, 399):
         total = np.sum([before[("a", t, c)] for c in range(5)], axis=0)
         assert total == pytest.approx(x[t - 30 : t], abs=1e-6)
+
+
+def test_every_kernel_honours_the_contract(spark, series):
+    for kernel, options, tolerance in (
+        ("centred", {}, 1e-9), ("linear_sift", {"levels": 2, "passes": 1}, 1e-9), ("sift", {}, 1e-9), ("ensemble", {"pairs": 2, "k": 4}, 5.0),
+    ):
+        comps = decompose(series, kernel, **options)
+        assert tuple(comps.columns) == COLUMNS
+        found = reconstruction(comps, series).collect()
+        assert len(found) == 2 and all(r.n == 400 and r.recon_pct_of_range < tolerance for r in found), kernel
+    own = decompose(series, lambda s: s.select("series_id", "idx", F.lit(0).alias("comp"), F.lit(True).alias("is_residual"), F.col("x").alias("c")))
+    assert all(r.recon_max_err == 0 and r.n_components == 1 for r in reconstruction(own, series).collect())
+
+
+def test_synthetic_series(series):
+    made = synthetic_series(series, walk_std=3.0, noise_std=2.0).where("series_id = 'a'").toPandas().sort_values("idx")
+    t = np.arange(400)
+    assert (made["fast"] + made["slow"] + made["trend"]).to_numpy() == pytest.approx(made["x"].to_numpy())
+    assert np.std(made["fast"] - 10 * np.sin(2 * np.pi * t / 9)) == pytest.approx(2.0, rel=0.15)
+    assert np.std(np.diff(made["trend"] - 5000 - 0.5 * t)) == pytest.approx(3.0, rel=0.15)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators.blocks import BLOCK_ROWS, at_home, lane, running, spread, with_totals
+from tidewatch.operators.ensemble import standard_normal
 from tidewatch.sources.bars import WINDOW
 
 
@@ -110,3 +111,22 @@ def synthetic_components(calendar: DataFrame) -> DataFrame:
         (F.lit(30.0) * F.sin(2 * F.pi() * t / 40)).alias("slow"),
         (F.lit(5000.0) + 0.5 * t).alias("trend"),
     ).withColumn("x", F.col("fast") + F.col("slow") + F.col("trend"))
+
+
+def synthetic_series(
+    calendar: DataFrame, walk_std: float = 3.0, noise_std: float = 2.0, seed: int = 0
+) -> DataFrame:
+    """The same with a random walk in the trend and noise on the fast wave.
+
+    Both come from hashes of the position, so they survive a recomputed task.
+    """
+    parts = synthetic_components(calendar).drop("x")
+    stepped = parts.withColumn("_step", walk_std * standard_normal("series_id", "idx", seed=seed))
+    walked = running(stepped, {"_walk": ("sum", "_step")})
+    return walked.select(
+        "series_id",
+        "idx",
+        (F.col("fast") + noise_std * standard_normal("series_id", "idx", seed=seed + 1)).alias("fast"),
+        "slow",
+        (F.col("trend") + F.col("_walk")).alias("trend"),
+    ).withColumn("x", F.col("fast") + F.col("slow") + F.col("trend"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.operators.centred import HALF_WIDTHS, decompose_centred
+from tidewatch.operators.decompose import decompose, reconstruction
 from tidewatch.operators.ensemble import (
     antithetic_realisations,
     ensemble_mean,
@@ -273,3 +274,27 @@ def decompose_full(spark, folder):
 @query("emd_walk_forward")
 def emd_walk_forward(spark, folder):
     return walk_forward_sifted(walk(spark, folder), history_rows=256, count=COMPONENTS)
+
+
+_EXACT = """SELECT series_id, count(*) AS n, CAST(0 AS DOUBLE) AS recon_max_err, true AS is_reconstructed FROM walk GROUP BY 1"""
+
+
+@query("emd_recon_error", sql=using("walk", select=_EXACT))
+def emd_recon_error(spark, folder):
+    """Sifted modes add up to the series."""
+    rows = walk(spark, folder)
+    found = reconstruction(decompose(rows, "sift"), rows)
+    return found.select(
+        "series_id", "n", (F.round("recon_max_err", 2) + 0.0).alias("recon_max_err"), (F.col("recon_pct_of_range") < 1e-6).alias("is_reconstructed")
+    )
+
+
+@query(
+    "decompose_full_recon",
+    sql=using("walk", select="SELECT series_id, count(*) AS n, true AS within_5_percent FROM walk GROUP BY 1"),
+)
+def decompose_full_recon(spark, folder):
+    """The ensemble stage stays within five percent of the range (its modes are lossy)."""
+    rows = walk(spark, folder)
+    found = reconstruction(decompose(rows, "ensemble", pairs=2, k=10, alpha=100.0), rows)
+    return found.select("series_id", "n", (F.col("recon_pct_of_range") < 5).alias("within_5_percent"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators.text import SIZES, key_integrity, ngram_overlap, shared_ngrams
 from tidewatch.plans.registry import fragment, query, using
 from tidewatch.plans.scored import rounded
-from tidewatch.sources.tables import table
+from tidewatch.sources.tables import table, use_all_cores
 
 
 def _grams_sql(source: str, key: str) -> str:
@@ -33,6 +33,10 @@ fragment(
 )
 
 
+def documents(spark, folder):
+    return use_all_cores(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query(
     "ngram_overlap",
     sql=using(
@@ -46,7 +50,7 @@ fragment(
 )
 def ngram_overlap_q(spark, folder):
     found = ngram_overlap(
-        table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "benchmark"), "item_id", "text"
+        documents(spark, folder), "doc_id", "text", table(spark, folder, "benchmark"), "item_id", "text"
     )
     return rounded(found, 6)
 
@@ -61,7 +65,7 @@ def ngram_overlap_q(spark, folder):
 )
 def ngram_listing(spark, folder):
     return shared_ngrams(
-        table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "benchmark"), "item_id", "text"
+        documents(spark, folder), "doc_id", "text", table(spark, folder, "benchmark"), "item_id", "text"
     )
 
 

@@ -38,7 +38,8 @@ def use_all_cores(df: DataFrame) -> DataFrame:
     """Redistribute rows when the files give fewer input splits than there are cores.
 
     For work that costs far more per row than moving the row.  A table with enough
-    splits is left as it is, without a shuffle.
+    splits is left as it is, without a shuffle.  Meant for plain table reads, whose
+    number of splits is known without running anything.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
