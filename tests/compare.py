@@ -33,7 +33,7 @@ def database(folder: str) -> duckdb.DuckDBPyConnection:
 
 def _plain(v):
     if isinstance(v, (float, np.floating)):
-        return None if math.isnan(v) else float(v) + 0.0
+        return None if math.isnan(v) else repr(float(v))  # tells -0.0 from 0.0
     if isinstance(v, np.generic):
         return v.item()
     return v

@@ -203,8 +203,8 @@ def trace_first_n(spark, folder):
     "synthetic_series",
     sql=using(
         "series",
-        select="""SELECT series_id, idx, round(10 * sin(2 * pi() * idx / 9), 6) AS fast,
-    round(30 * sin(2 * pi() * idx / 40), 6) AS slow, 5000 + CAST(0.5 AS DOUBLE) * idx AS trend,
+        select="""SELECT series_id, idx, round(10 * sin(2 * pi() * idx / 9), 6) + CAST(0 AS DOUBLE) AS fast,
+    round(30 * sin(2 * pi() * idx / 40), 6) + CAST(0 AS DOUBLE) AS slow, 5000 + CAST(0.5 AS DOUBLE) * idx AS trend,
     round(10 * sin(2 * pi() * idx / 9) + 30 * sin(2 * pi() * idx / 40) + 5000 + CAST(0.5 AS DOUBLE) * idx, 6) AS x
     FROM series""",
     ),

@@ -203,7 +203,7 @@ def baseline_pivot(spark, folder):
     "relative_to_persistence",
     sql=using(
         "base_long",
-        select="""SELECT s.series_id, s.baseline, round((s.r / p.r - 1) * 100, 4) AS pct_worse, round(s.r / p.r, 6) AS ratio,
+        select="""SELECT s.series_id, s.baseline, round((s.r / p.r - 1) * 100, 4) + CAST(0 AS DOUBLE) AS pct_worse, round(s.r / p.r, 6) AS ratio,
     round(min(s.r / p.r) OVER (PARTITION BY s.baseline), 6) AS ratio_min,
     round(max(s.r / p.r) OVER (PARTITION BY s.baseline), 6) AS ratio_max
     FROM (SELECT series_id, baseline, sqrt(avg((y - y_pred) ** 2)) AS r FROM base_long GROUP BY 1, 2) s
