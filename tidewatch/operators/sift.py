@@ -89,7 +89,7 @@ def sift_decompose(
     """Components ``c0..c<levels>`` by a fixed number of passes per level.
 
     A pass reads its input twice, so without a cut the plan would double with every
-    pass; each pass is written to the checkpoint folder.
+    pass; each pass is written to the shared folder.
     """
     rows = series.select("series_id", "idx", "x", F.col("x").alias("rest"))
     for level in range(levels):
