@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, exact_dedup, packing, token_counts
+from tidewatch.llm import decontaminate, exact_dedup, licenses, packing, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -39,6 +39,19 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.tiktoken"))
 
 
+@query()
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = licenses.license_scan(table(spark, sf_dir, "documents"))
+    labels = F.transform("base", lambda x: x["label"])
+    starts = F.transform("base", lambda x: x["start"].cast("long"))
+    joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
+    return rows.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        joined(labels).alias("base_labels"), joined(F.concat(labels, F.transform("found", lambda x: x["label"]))).alias("labels"),
+        licenses.sureness(F.concat("base", "found")).alias("score"), F.size("found").cast("long").alias("n_found"),
+    )
+
+
 @query(
     """
     SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
