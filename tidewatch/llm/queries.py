@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, exact_dedup, licenses, packing, token_counts
+from tidewatch.llm import decontaminate, exact_dedup, licenses, packing, pseudonyms, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -39,6 +39,17 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.tiktoken"))
 
 
+#: A key for the registered query only; a user brings a secret of their own.
+DEMO_KEY = "demonstration"
+
+
+@query()
+def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pseudonyms.pseudonymised(table(spark, sf_dir, "documents"), DEMO_KEY)
+    counts = [F.size(F.filter("pii", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pseudonyms.KINDS]
+    return rows.select("doc_id", "text", F.size("pii").cast("long").alias("n_pii"), *counts, "pii")
+
+
 @query()
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = licenses.license_scan(table(spark, sf_dir, "documents"))
