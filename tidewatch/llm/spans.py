@@ -102,8 +102,8 @@ def shingle_hashes(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np
     counts = np.diff(first)
     n = len(hashes)
     rolled = np.zeros(max(n - size + 1, 0), np.uint64)
-    for k in range(size):
-        rolled += mix(hashes[k : n - size + 1 + k] + np.uint64(k + 1) * _ODD)
+    for k, salt in enumerate(np.arange(1, size + 1, dtype=np.uint64) * _ODD):
+        rolled += mix(hashes[k : n - size + 1 + k] + salt)
     owner = np.repeat(np.arange(len(counts)), counts)
     whole = np.flatnonzero(np.arange(len(rolled)) + size <= first[owner[: len(rolled)] + 1]) if len(rolled) else np.zeros(0, int)
     out, texts = [mix(rolled[whole])], [owner[whole]]
