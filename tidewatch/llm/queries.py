@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, exact_dedup, jaccard_join, licenses, packing, pseudonyms, token_counts
+from tidewatch.llm import decontaminate, exact_dedup, jaccard_join, licenses, packing, pseudonyms, quality_votes, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -108,6 +108,12 @@ def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op7_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_votes.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.withColumn("predicted", (F.col("score") >= quality_votes.THRESHOLD).cast("int"))
+
+
 @query()
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(
