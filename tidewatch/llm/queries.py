@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, exact_dedup, jaccard_join, licenses, packing, pseudonyms, quality_votes, token_counts
+from tidewatch.llm import decontaminate, exact_dedup, jaccard_join, lattice, licenses, packing, pseudonyms, quality_votes, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -114,6 +114,11 @@ def op7_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("predicted", (F.col("score") >= quality_votes.THRESHOLD).cast("int"))
 
 
+@query()
+def op8_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.likelihoods(table(spark, sf_dir, "documents"), vocabulary_file("piece_bpe_32k.model"))
+
+
 @query()
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(

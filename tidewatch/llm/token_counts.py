@@ -127,11 +127,13 @@ def piece_counts(auto: Automaton, data: np.ndarray, starts: np.ndarray, ends: np
 
 def token_counts(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_words, n_tokens) of every whole text."""
-    # Bounded by the vocabulary, whatever the input.
-    shared = docs.sparkSession.sparkContext.broadcast(build_automaton(byte_vocabulary(ranks_path)))
+    auto = build_automaton(byte_vocabulary(ranks_path))
+    # Arrays alone, so that workers need no class to read them; bounded by the vocabulary, whatever the input.
+    shared = docs.sparkSession.sparkContext.broadcast((auto.trie.row, auto.trie.table, auto.trie.entry, auto.fail, auto.pops))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = shared.value
+        *trie, fail, pops = shared.value
+        auto = Automaton(Trie(*trie), fail, pops)
         for batch in batches:
             n_bytes, n_words, n_tokens = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
             for first, last, data, offsets in slices(batch.column(1)):
