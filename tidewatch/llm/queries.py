@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, exact_dedup, jaccard_join, lattice, licenses, packing, pseudonyms, quality_votes, token_counts
+from tidewatch.llm import decontaminate, exact_dedup, jaccard_join, lattice, licenses, packing, pseudonyms, quality_votes, secret_spans, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -34,6 +34,11 @@ def vocabulary_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def of_kind(spans: str, kind: str) -> Column:
+    """How many entries of an array of structs are of a kind."""
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
 @query()
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.tiktoken"))
@@ -124,3 +129,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(
         table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"), vocabulary_file("byte_bpe_50k.tiktoken")
     )
+
+
+@query()
+def op10_secret_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secret_spans.secret_spans(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["kind"] != "crf")
+    told = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    counts = [of_kind("spans", k) for k in secret_spans.KINDS]
+    return rows.select("doc_id", *counts[:3], F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"), counts[3])
