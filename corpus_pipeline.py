@@ -1,26 +1,45 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns
+documents with the columns they came with; the last one returns token pieces with their places.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import exact_dedup, packing
+from tidewatch.llm import decontaminate, exact_dedup, jaccard_join, packing, quality_votes
 from tidewatch.llm.queries import table, vocabulary_file
 from tidewatch.session import cut_lineage
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the neighbours' votes don't reject."""
+    return quality_votes.without_rejected(docs, table(spark, sf_dir, "labels"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts."""
+    """One row of each group of equal texts, that with the largest id."""
     return exact_dedup.without_copies(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that with the least id."""
+    return jaccard_join.without_near_duplicates(docs)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark passages are less than a twentieth."""
+    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The packing of what is left: one row per token piece."""
     return packing.packed_documents(docs, vocabulary_file("byte_bpe_50k.json"), vocabulary_file("byte_bpe_50k.tiktoken"))
 
 
-STAGES = [("exact dedup", exact), ("packing", pack)]
-#: Classification and packing have no SQL form; the tests compare with a brute-force version.
+STAGES = [("quality", quality), ("exact dedup", exact), ("near duplicates", near), ("decontamination", clean), ("packing", pack)]
+#: Votes and packing have no SQL form; the tests compare every stage with a brute-force version.
 ORACLE_SQL = None
 
 
