@@ -96,11 +96,10 @@ SINGLES = (
     ("beerware", 2, "beer", "beer ?ware licen[sc]e"),
     ("license-reference", 4, "licen", "licen[sc]ed under"),
 )
-#: A text without any of these words meets no rule.
-TRIGGERS = (
-    "license", "licence", "licenses", "licences", "licensed", "licenced", "unlicense", "gpl", "gplv1", "gplv2", "gplv3", "lgpl", "lgplv2", "lgplv3", "agpl", "agplv3",
-    "gfdl", "gnu", "mpl", "epl", "cddl", "cpl", "eupl", "osl", "afl", "artistic", "lppl", "bsl", "boost", "zpl", "odbl", "ofl", "cecill", "php", "cc", "cc0", "creative",
-    "creativecommons", "bsd", "wtfpl", "apache", "spdx", "permission", "redistribution", "domain", "reserved", "python", "licencing", "licensing",
+#: Words that start or mark what the rules look for; short names, with and without a version number, and web places are added below.
+WORDS = (
+    "license", "licence", "licenses", "licences", "licensed", "licenced", "unlicense", "gnu", "artistic", "boost", "cc", "cc0", "creative", "creativecommons",
+    "attribution", "bsd", "wtfpl", "apache", "spdx", "permission", "redistribution", "domain", "reserved",
 )
 #: How sure a detection of each priority is.
 SURE = {1: 1.0, 2: 0.9, 3: 0.8, 4: 0.5}
@@ -121,13 +120,13 @@ def rules() -> list[Rule]:
             for name in names:
                 # the longest plain run of words before a pattern sign gates the rule
                 key = name.split(" licen")[0].split("[")[0]
-                out.append(Rule(full, 2, key, f"{name}(?: version| v)? ?v?{spoken}(?: or| only)?"))
-                out.append(Rule(f"{full}-or-later", 1, key, f"{name}(?: version| v)? ?v?{spoken} or (?:at your option )?(?:any )?later(?: version)?"))
+                out.append(Rule(full, 2, key, f"{name}(?: version| v)? v?{spoken}(?: or| only)?"))
+                out.append(Rule(f"{full}-or-later", 1, key, f"{name}(?: version| v)? v?{spoken} or (?:at your option )?(?:any )?later(?: version)?"))
             for short in shorts:
                 glue = "" if short.endswith("v") else " ?v?"
                 out.append(Rule(full, 3, short, f"{short}{glue}{spoken}(?: only)?"))
                 out.append(Rule(f"{full}-or-later", 2, short, f"{short}{glue}{spoken} or later"))
-            out.append(Rule(full, 3, place, f"{place}[a-z]? ?v?{spoken}"))
+            out.append(Rule(full, 3, place, f"{place}[a-z]? v?{spoken}"))
         for name in names:
             out.append(Rule(label, 4, name.split(" licen")[0], name))
     for kind in CC_TYPES:
@@ -144,6 +143,18 @@ def rules() -> list[Rule]:
     return out
 
 
+def triggers() -> list[str]:
+    """A text without any of these words meets no rule."""
+    out = set(WORDS)
+    for _, _, shorts, place, versions in FAMILIES:
+        out.add(place.split()[0])
+        for short in shorts:
+            out.add(short)
+            for major in {v.split(".")[0] for v in versions}:
+                out |= {f"{short}{major}", f"{short}v{major}"}
+    return sorted(out)
+
+
 def _table(entries: list[Rule]) -> Column:
     """The rules as one constant array."""
     return F.array(
@@ -209,14 +220,14 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     table = _table(rules() if entries is None else entries)
     base = _table([Rule(label, 4, phrase, phrase) for phrase, label in PHRASES])
-    triggers = F.array(*map(F.lit, TRIGGERS))
+    marks = F.array(*map(F.lit, triggers()))
 
     def scan(words: Column) -> Column:
         def detect(norm: Column) -> Column:
             return F.struct(_spans(norm, base).alias("base"), let(_spans(norm, table), _suppressed).alias("found"))
 
         norm = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-        return F.struct(F.size(words).cast("long").alias("n_words"), F.when(F.arrays_overlap(words, triggers), let(norm, detect)).alias("seen"))
+        return F.struct(F.size(words).cast("long").alias("n_words"), F.when(F.arrays_overlap(words, marks), let(norm, detect)).alias("seen"))
 
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), let(F.transform(raw_words(F.col(f"`{text_col}`")), lowered), scan).alias("scan"))
     none = F.array().cast("array<struct<start:int,to:int,priority:int,label:string>>")
