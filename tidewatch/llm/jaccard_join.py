@@ -9,6 +9,8 @@ the merge brought up; candidates that reach the required overlap are kept.
 * Lists are ordered short to long by their frequent shingles (counted over all texts; which of them
   reach the bounded table changes the work, never the result), ties by hash.
 * Equal sets are one candidate, found by a 128-bit key of the set.
+* A candidate pair is first compared by two sketches of about a bit per shingle, which bound from
+  below how much the sets differ; only pairs that pass are compared in full.
 * Short lists are spread over the cluster by shingle. A list of many members isn't expanded
   into pairs: in each of a few rounds its members are compared with one of them, and members
   already known to be in one component are not compared. What may still link two
@@ -70,11 +72,30 @@ def _key(own: np.ndarray) -> tuple[int, int]:
     return tuple(int(np.uint64(x).astype(np.int64)) for x in pair)
 
 
+def odd_sketch(own: np.ndarray) -> bytes:
+    """One bit for each residue of the shingles modulo a power of two, set if an odd number of shingles have it.
+
+    Every shingle that is in one of two sets alone flips one bit, so two sketches never differ in more
+    bits than the sets differ in shingles.
+    """
+    bits = max(64, 1 << (len(own) - 1).bit_length())
+    counts = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def _differ(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits in which two sketches differ, the longer one folded to the length of the other."""
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
-_FIRST = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())])
+_FIRST = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sketch", pa.binary())])
 _POST = pa.schema([("shingle", pa.int64()), ("salt", pa.int32()), ("k1", pa.int64())])
 
 
@@ -90,13 +111,13 @@ def _survey(size: int):
             if held:
                 found, times = np.unique(np.concatenate(held), return_counts=True)
                 found, times = found[times >= LOCAL_SETS], times[times >= LOCAL_SETS]
-                yield _batch({"kind": np.ones(len(found), np.int32), "id": np.zeros(len(found), np.int64), "n": times, "k1": found.astype(np.int64), "k2": np.zeros(len(found), np.int64)}, _FIRST)
+                yield _batch({"kind": np.ones(len(found), np.int32), "id": np.zeros(len(found), np.int64), "n": times, "k1": found.astype(np.int64), "k2": np.zeros(len(found), np.int64), "sketch": [None] * len(found)}, _FIRST)
 
         for batch in batches:
-            ids, n, k1, k2 = batch.column(0), [], [], []
+            ids, n, k1, k2, sketch = batch.column(0), [], [], [], []
             for _, own in sets_of(batch.column(1), size):
                 key = _key(own)
-                n.append(len(own)), k1.append(key[0]), k2.append(key[1])
+                n.append(len(own)), k1.append(key[0]), k2.append(key[1]), sketch.append(odd_sketch(own) if len(own) else None)
                 if len(own) and key not in seen:
                     seen.add(key)
                     held.append(own)
@@ -105,7 +126,7 @@ def _survey(size: int):
                     yield from frequent()
                     held, count = [], 0
                     seen.clear()
-            yield _batch({"kind": np.zeros(len(n), np.int32), "id": ids, "n": n, "k1": k1, "k2": k2}, _FIRST)
+            yield _batch({"kind": np.zeros(len(n), np.int32), "id": ids, "n": n, "k1": k1, "k2": k2, "sketch": sketch}, _FIRST)
         yield from frequent()
 
     return survey
@@ -165,6 +186,21 @@ def _verify(size: int, percent: int):
     return verify
 
 
+def _close(percent: int):
+    """Pairs (a, b) whose sketches differ in no more bits than sets of that similarity may differ in shingles."""
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, na, nb, sa, sb = (batch.column(k).to_pylist() for k in range(6))
+            keep = [
+                (100 + percent) * _differ(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) <= (100 - percent) * (m + n)
+                for m, n, x, y in zip(na, nb, sa, sb)
+            ]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+
+    return close
+
+
 def near_duplicates(
     docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
     frequent: int = FREQUENT, list_rows: int = LIST_ROWS, rounds: int = ROUNDS,
@@ -173,7 +209,7 @@ def near_duplicates(
     spark = docs.sparkSession
     rows = id_and_text(docs, id_col, text_col)
     rows = rows.select(F.coalesce("doc_id", F.lit(NO_ID) + F.pmod(F.xxhash64("text"), F.lit(NO_ID))).alias("id"), "text")
-    first = stored(rows.mapInArrow(_survey(size), "kind int, id long, n long, k1 long, k2 long"))
+    first = stored(rows.mapInArrow(_survey(size), "kind int, id long, n long, k1 long, k2 long, sketch binary"))
     sets = first.where("kind = 0").select("id", "n", "k1", "k2")
 
     # Which shingles are frequent; the table's size is bounded, and any table gives the same result.
@@ -182,7 +218,7 @@ def near_duplicates(
     order = np.argsort(tokens)
     common = spark.sparkContext.broadcast((tokens[order], np.array([r["n"] for r in table], np.int64)[order]))
 
-    classes = stored(sets.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("node")))
+    classes = stored(first.where("kind = 0 and n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("node"), F.any_value("sketch").alias("sketch")))
     posts = rows.select("id", "text").mapInArrow(_postings(size, percent, common, list_rows), "shingle long, salt int, k1 long")
     listed = posts.withColumn("members", F.count("*").over(Window.partitionBy("shingle", "salt")))
     listed = stored(listed.where("members > 1 or salt > 0").drop("members").distinct())
@@ -195,17 +231,18 @@ def near_duplicates(
     chosen = whole.where("c > 1").groupBy("c", "h", "g").agg(F.min("shingle").alias("shingle")).select("shingle")
     listed = stored(listed.join(chosen, "shingle", "left_semi"))
 
-    wanted = stored(listed.select("node").distinct())
-    wanted = sized(wanted)
+    wanted = sized(stored(listed.select("node").distinct()))
     texts = stored(rows.join(wanted, rows["id"] == wanted["node"], "left_semi"))
+    sketches = stored(classes.join(wanted, "node", "left_semi").select("node", "n", "sketch"))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that reach the similarity."""
-        held = sized(texts, 20_000)
-        both = pairs.join(held.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(
-            held.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b"
-        )
-        return stored(both.select("a", "b", "ta", "tb").repartition("b", "a").mapInArrow(_verify(size, percent), "a long, b long").distinct())
+        """The pairs (a, b) that reach the similarity; texts are fetched only for those whose sketches are close."""
+        x, y = (sketches.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
+        near = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_close(percent), "a long, b long")
+        near = stored(near.distinct())
+        x, y = (texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
+        both = near.join(x, "a").join(y, "b").select("a", "b", "ta", "tb")
+        return stored(both.mapInArrow(_verify(size, percent), "a long, b long").distinct())
 
     near = F.least("n_set", "o_set") * 100 >= F.greatest("n_set", "o_set") * percent
     roots = None
