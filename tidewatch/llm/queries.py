@@ -56,7 +56,7 @@ DEMO_KEY = "demonstration"
 @query()
 def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pseudonyms.pseudonymised(table(spark, sf_dir, "documents"), DEMO_KEY)
-    counts = [F.size(F.filter("pii", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pseudonyms.KINDS]
+    counts = [of_kind("pii", k) for k in pseudonyms.KINDS]
     return rows.select("doc_id", "text", F.size("pii").cast("long").alias("n_pii"), *counts, "pii")
 
 
