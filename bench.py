@@ -36,10 +36,6 @@ HEADLINE = (
     "recover_index",
     "linear_envelope",
     "sift_decompose",
-    "emd_grouped",
-    "vmd_grouped",
-    "decompose_full",
-    "emd_walk_forward",
     "ngram_overlap",
     "key_integrity",
 )

@@ -1,4 +1,4 @@
-"""Contract of the grouped kernels and the ensemble around them."""
+"""Sifting to convergence, the ensemble around it, and the contract of the kernels."""
 
 import numpy as np
 import pytest
@@ -6,76 +6,68 @@ from pyspark.sql import functions as F
 
 from tests import brute
 from tidewatch.operators.decompose import COLUMNS, decompose, reconstruction
-from tidewatch.operators.ensemble import antithetic_realisations, ensemble_mean, fit_components
-from tidewatch.operators.grouped import (
-    _spline,
-    ensemble_decompose,
-    sift_modes,
-    sift_segments,
-    sweep_variational,
-    variational_modes,
-    variational_segments,
-    walk_forward_sifted,
-    with_segments,
-)
+from tidewatch.operators.ensemble import antithetic_realisations, ensemble_decompose, ensemble_mean, fit_components
 from tidewatch.operators.prepare import synthetic_series
+from tidewatch.operators.sift import sift_converged
 
 
-def price(n=400, seed=0):
-    t = np.arange(n)
-    return 5000 + np.cumsum(np.random.default_rng(seed).normal(0, 8, n)) + 40 * np.sin(2 * np.pi * t / 60)
+def wavy(n, seed):
+    """Whole-valued steps around two waves of unlike length."""
+    steps = np.random.default_rng(seed).integers(-12, 13, n).cumsum()
+    return steps + np.round(90 * np.cos(np.arange(n) / 5.0) + 300 * np.sin(np.arange(n) / 31.0))
 
 
-def crossings(c):
-    return int(np.sum(np.diff(np.sign(c - c.mean())) != 0))
+def sifted(x, levels=10, tolerance=0.2, least=0.01):
+    rest, parts = x.astype(float), []
+    for level in range(levels + 1):
+        inner = rest[1:-1]
+        tops = int(((inner > rest[:-2]) & (inner > rest[2:])).sum())
+        lows = int(((inner < rest[:-2]) & (inner < rest[2:])).sum())
+        if min(tops, lows) < 4 or rest.std() <= least * x.std() or level == levels:
+            return [*parts, rest]
+        h, change = rest, 1.0
+        while change >= tolerance:
+            top, low = brute.envelopes(h)
+            was, h = h, h - (top + low) / 2
+            change = ((h - was) ** 2).sum() / (was**2).sum()
+        parts.append(h)
+        rest = rest - h
+    return parts
 
 
 @pytest.fixture(scope="module")
 def series(spark):
-    rows = [(s, i, float(v), 400, 326) for k, s in enumerate("ab") for i, v in enumerate(price(seed=k))]
+    rows = [(s, i, float(v), 400, 326) for k, s in enumerate("ab") for i, v in enumerate(wavy(400, k))]
     return spark.createDataFrame(rows, "series_id string, idx int, x double, n int, train_end int").cache()
 
 
-def test_spline_reproduces_cubics():
-    knots = np.array([0.0, 1.0, 2.5, 4.0, 7.0, 8.0])
-    at = np.linspace(0, 8, 50)
-    cubic = np.poly1d([0.3, -1.0, 2.0, 5.0])
-    for k in (4, 5, 6):
-        assert _spline(knots[:k], cubic(knots[:k]), at) == pytest.approx(cubic(at), abs=1e-9)
+@pytest.mark.parametrize("block_rows", [64, 1024])
+def test_sifting_converges_like_the_plain_version(spark, block_rows):
+    lengths = {"long": 700, "mid": 150, "short": 5}
+    rows = [(s, i, float(v)) for k, (s, n) in enumerate(lengths.items()) for i, v in enumerate(wavy(n, k))]
+    out = sift_converged(spark.createDataFrame(rows, "series_id string, idx int, x double"), block_rows=block_rows).toPandas()
+    for k, (s, n) in enumerate(lengths.items()):
+        want, own = sifted(wavy(n, k)), out[out.series_id == s]
+        assert own.comp.nunique() == len(want) and own.converged.all()
+        for comp, part in enumerate(want):
+            got = own[own.comp == comp].sort_values("idx")
+            assert got.c.to_numpy() == pytest.approx(part, abs=1e-6) and (got.is_residual == (comp == len(want) - 1)).all()
 
 
-def test_modes_add_up_and_are_ordered():
-    x = price()
-    modes = sift_modes(x)
-    assert np.abs(np.sum(modes, axis=0) - x).max() < 1e-9
-    z = [crossings(m) for m in modes]
-    assert z[0] == max(z) and z[-1] == min(z)
-    assert len(sift_modes(np.arange(5.0))) == 1
+def test_limits_are_reported(spark, series):
+    out = sift_converged(series, levels=1, tolerance=1e-9, most_passes=2)
+    assert {(r.comp, r.is_residual, r.converged) for r in out.select("comp", "is_residual", "converged").distinct().collect()} == {(0, False, False), (1, True, False)}
 
 
-@pytest.mark.parametrize("n", [400, 399])
-def test_variational_modes_keep_the_length_and_roughly_reconstruct(n):
-    x = price()[:n]
-    modes = variational_modes(x, 5, 500.0)
-    assert modes.shape == (5, n)
-    assert np.abs(modes.sum(axis=0) - x).max() / np.ptp(x) < 0.25
-
-
-def test_segments_are_bounded_and_lose_no_rows(spark, series):
-    out = sift_segments(with_segments(series, 150).withColumn("run", F.lit(0)), "run", "x")
-    sizes = out.where("level = 0").groupBy("series_id", "segment").count().collect()
-    assert sorted((r.segment, r["count"]) for r in sizes if r.series_id == "a") == [(0, 150), (1, 150), (2, 100)]
-    sums = out.groupBy("series_id", "idx").agg(F.sum("c").alias("total")).join(series, ["series_id", "idx"])
-    assert sums.count() == 800 and sums.agg(F.max(F.abs(F.col("total") - F.col("x")))).first()[0] < 1e-8
-    assert variational_segments(with_segments(series), 3, 500.0).count() == 2 * 400 * 3
-
-
-def test_sweep_picks_the_best_candidate(series):
-    got = {r.series_id: (r.k, r.alpha) for r in sweep_variational(with_segments(series), [3, 6], [100.0, 5000.0]).collect()}
-    for s, seed in (("a", 0), ("b", 1)):
-        x = price(seed=seed)
-        errors = {(k, a): np.mean((x - variational_modes(x, k, a).sum(axis=0)) ** 2) for k in (3, 6) for a in (100.0, 5000.0)}
-        assert got[s] == min(errors, key=errors.get)
+def test_ensemble_keeps_every_row_and_adds_up(spark):
+    rows = [(s, i, float(v)) for s, n in (("a", 300), ("five", 5)) for i, v in enumerate(wavy(n, 3))]
+    df = spark.createDataFrame(rows, "series_id string, idx int, x double")
+    out = ensemble_decompose(df, count=4, pairs=2).toPandas()
+    assert len(out) == 305 and np.abs(out[[f"c{j}" for j in range(4)]].sum(axis=1) - out.x).max() < 1e-6
+    runs = antithetic_realisations(df, 2).toPandas()
+    mine = [sifted(g.sort_values("idx").v.to_numpy(), levels=3) for _, g in runs[runs.series_id == "a"].groupby("realisation")]
+    fast = np.mean([m[0] for m in mine], axis=0)
+    assert out[out.series_id == "a"].sort_values("idx").c0.to_numpy() == pytest.approx(fast, abs=1e-6)
 
 
 def test_noise_is_reproducible_antithetic_and_scaled(series):
@@ -114,35 +106,9 @@ def test_ensemble_mean_counts_missing_levels_as_zero(spark):
     assert (r.c0, r.c1, r.c2) == (4.0, 4.0, 92.0)
 
 
-def test_full_stage_reconstructs(series):
-    out = ensemble_decompose(series, pairs=3, k=4, alpha=100.0).cache()
-    sums = out.groupBy("series_id", "idx").agg(F.sum("c").alias("total"), F.count("*").alias("k")).join(series, ["series_id", "idx"])
-    spread = sums.groupBy("series_id").agg(
-        (F.max(F.abs(F.col("total") - F.col("x"))) / (F.max("x") - F.min("x"))).alias("e"), F.min("k").alias("a"), F.max("k").alias("b")
-    ).collect()
-    assert len(spread) == 2 and all(r.e < 0.05 and r.a == r.b for r in spread)
-    for s in "ab":
-        comps = out.where(F.col("series_id") == s).groupBy("comp").agg(F.max("is_residual").alias("res")).orderBy("comp").collect()
-        assert [r.comp for r in comps] == list(range(len(comps))) and [r.res for r in comps] == [False] * (len(comps) - 1) + [True]
-
-
-def test_sifted_walk_forward_is_causal_and_sums(spark, series):
-    def windows(rows):
-        return {(r.series_id, r.idx, r.comp): r.w for r in walk_forward_sifted(rows.where("series_id = 'a'"), 120, 5).collect()}
-
-    before = windows(series)
-    after = windows(series.withColumn("x", F.when(F.col("idx") >= 360, F.lit(0.0)).otherwise(F.col("x"))))
-    assert len(before) == 74 * 5
-    assert all(before[k] == after[k] for k in before if k[1] <= 360) and before != after
-    x = price(seed=0)
-    for t in (326, 350, 399):
-        total = np.sum([before[("a", t, c)] for c in range(5)], axis=0)
-        assert total == pytest.approx(x[t - 30 : t], abs=1e-6)
-
-
 def test_every_kernel_honours_the_contract(spark, series):
     for kernel, options, tolerance in (
-        ("centred", {}, 1e-9), ("linear_sift", {"levels": 2, "passes": 1}, 1e-9), ("sift", {}, 1e-9), ("ensemble", {"pairs": 2, "k": 4}, 5.0),
+        ("centred", {}, 1e-9), ("linear_sift", {"levels": 2, "passes": 1}, 1e-9), ("sift", {}, 1e-9), ("ensemble", {"pairs": 1, "count": 3}, 1e-9),
     ):
         comps = decompose(series, kernel, **options)
         assert tuple(comps.columns) == COLUMNS

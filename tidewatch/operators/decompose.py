@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators.centred import HALF_WIDTHS, decompose_centred, long_components
-from tidewatch.operators.grouped import ensemble_decompose, sift_segments, with_segments
-from tidewatch.operators.sift import sift_decompose
+from tidewatch.operators.ensemble import ensemble_decompose
+from tidewatch.operators.sift import sift_converged, sift_decompose
 
 COLUMNS = ("series_id", "idx", "comp", "is_residual", "c")
 
@@ -22,13 +22,12 @@ def _linear_sift(series: DataFrame, levels: int = 3, passes: int = 3) -> DataFra
     return long_components(sift_decompose(series, levels, passes), levels + 1)
 
 
-def _sift(series: DataFrame) -> DataFrame:
-    rows = with_segments(series).withColumn("run", F.lit(0))
-    return sift_segments(rows, "run", "x").withColumnRenamed("level", "comp")
+def _sift(series: DataFrame, **options) -> DataFrame:
+    return sift_converged(series, **options)
 
 
-def _ensemble(series: DataFrame, pairs: int = 25, k: int = 10, alpha: float = 100.0, **options) -> DataFrame:
-    return ensemble_decompose(series, pairs, k, alpha, **options)
+def _ensemble(series: DataFrame, count: int = 10, **options) -> DataFrame:
+    return long_components(ensemble_decompose(series, count, **options), count)
 
 
 KERNELS: dict[str, Callable[..., DataFrame]] = {

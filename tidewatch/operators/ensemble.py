@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators.blocks import BLOCK_ROWS, with_totals
+from tidewatch.operators.sift import sift_converged
 
 
 def standard_normal(*parts: Column | str, seed: int = 0) -> Column:
@@ -106,3 +107,16 @@ def uncorrected_mean_error(realisations: DataFrame, signal: DataFrame) -> DataFr
         F.max(off).alias("recon_max_err"),
         (F.max(off) * 100 / F.nullif(F.max("x") - F.min("x"), F.lit(0.0))).alias("recon_pct_of_range"),
     )
+
+
+def ensemble_decompose(
+    series: DataFrame, count: int = 10, pairs: int = 25, noise_std: float = 0.2, seed: int = 0, block_rows: int = BLOCK_ROWS, **sifting
+) -> DataFrame:
+    """Noise-assisted sifting: ``(series_id, idx, x, c0 .. c<count - 1>)``, the residual last.
+
+    ``2 * pairs`` noisy copies of every series are sifted until they converge, each on its own, brought
+    to ``count`` components and averaged; the residual is what the mean components leave of the series, so no row is lost.
+    """
+    noisy = antithetic_realisations(series, pairs, noise_std, seed=seed, block_rows=block_rows)
+    sifted = sift_converged(noisy, ["series_id", "realisation"], "v", levels=max(count - 1, 1), block_rows=block_rows, **sifting)
+    return ensemble_mean(sifted, series, count, 2 * max(1, pairs))

@@ -8,19 +8,21 @@ values), carries those across blocks, and interpolates inside the block.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.blocks import BLOCK_ROWS, at_home, lane, spread
+from tidewatch.operators.blocks import BLOCK_ROWS, SERIES, at_home, lane, spread, with_totals
 from tidewatch.session import cut_lineage
 
 _FEWEST_EXTREMA = 4
 
 
-def mark_extrema(rows: DataFrame, value: str = "x", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def mark_extrema(rows: DataFrame, value: str = "x", block_rows: int = BLOCK_ROWS, keys: Sequence[str] = SERIES) -> DataFrame:
     """Add ``is_max`` and ``is_min``: strictly above or below both neighbours."""
     spread_rows = spread(rows, before=1, after=1, block_rows=block_rows)
-    v, back, ahead = F.col(value), F.lag(value).over(lane()), F.lead(value).over(lane())
+    v, back, ahead = F.col(value), F.lag(value).over(lane(keys)), F.lead(value).over(lane(keys))
     marked = spread_rows.withColumns(
         {
             "is_max": F.coalesce((v > back) & (v > ahead), F.lit(False)),
@@ -39,33 +41,33 @@ def _interpolate(before: Column, after: Column) -> Column:
     ).otherwise(left["v"])
 
 
-def linear_envelopes(rows: DataFrame, value: str = "x", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def linear_envelopes(rows: DataFrame, value: str = "x", block_rows: int = BLOCK_ROWS, keys: Sequence[str] = SERIES) -> DataFrame:
     """Add ``upper`` and ``lower``; a side with fewer than four extrema is the mean of the series."""
-    marked = mark_extrema(rows, value, block_rows)
+    marked = mark_extrema(rows, value, block_rows, keys)
     point = F.struct(F.col("idx").alias("idx"), F.col(value).alias("v"))
     marked = marked.withColumns({"_top": F.when(F.col("is_max"), point), "_low": F.when(F.col("is_min"), point)})
-    per_block = marked.groupBy("series_id", "block").agg(
+    per_block = marked.groupBy(*keys, "block").agg(
         *[f(c).alias(f"{c}_{n}") for c in ("_top", "_low") for f, n in ((F.min, "first"), (F.max, "last"), (F.count, "n"))],
         F.sum(value).alias("_sum"),
         F.count(value).alias("_count"),
     )
-    whole = Window.partitionBy("series_id")
+    whole = Window.partitionBy(*keys)
     earlier = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     # Looking ahead is a running frame in reverse order: linear, where a frame that
     # ends at the last row would be evaluated from scratch for every row.
     later = whole.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     carried = per_block.select(
-        "series_id",
+        *keys,
         "block",
         *[F.max(f"{c}_last").over(earlier).alias(f"{c}_before") for c in ("_top", "_low")],
         *[F.min(f"{c}_first").over(later).alias(f"{c}_after") for c in ("_top", "_low")],
         *[F.sum(f"{c}_n").over(whole).alias(f"{c}_total") for c in ("_top", "_low")],
         (F.sum("_sum").over(whole) / F.sum("_count").over(whole)).alias("_mean"),
     )
-    joined = marked.join(carried, ["series_id", "block"])
-    so_far = lane().rowsBetween(Window.unboundedPreceding, 0)
+    joined = marked.join(carried, [*keys, "block"])
+    so_far = lane(keys).rowsBetween(Window.unboundedPreceding, 0)
     from_here = (
-        Window.partitionBy("series_id", "block").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy(*keys, "block").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0)
     )
 
     def envelope(c: str) -> Column:
@@ -77,9 +79,9 @@ def linear_envelopes(rows: DataFrame, value: str = "x", block_rows: int = BLOCK_
     return joined.withColumns({"upper": envelope("_top"), "lower": envelope("_low")}).select(*kept, "upper", "lower")
 
 
-def sift_pass(rows: DataFrame, value: str = "x", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def sift_pass(rows: DataFrame, value: str = "x", block_rows: int = BLOCK_ROWS, keys: Sequence[str] = SERIES) -> DataFrame:
     """Take the mean of both envelopes off ``value``."""
-    enveloped = linear_envelopes(rows, value, block_rows)
+    enveloped = linear_envelopes(rows, value, block_rows, keys)
     return enveloped.withColumn(value, F.col(value) - (F.col("upper") + F.col("lower")) / 2).drop("upper", "lower")
 
 
@@ -98,3 +100,62 @@ def sift_decompose(
             rows = cut_lineage(sift_pass(rows, "h", block_rows))
         rows = rows.withColumns({f"c{level}": F.col("h"), "rest": F.col("rest") - F.col("h")}).drop("h")
     return rows.withColumnRenamed("rest", f"c{levels}")
+
+
+def sift_converged(
+    series: DataFrame,
+    keys: Sequence[str] = SERIES,
+    value: str = "x",
+    levels: int = 10,
+    tolerance: float = 0.2,
+    most_passes: int = 100,
+    least_spread: float = 0.01,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Components by sifting every group until it changes little: ``(keys, idx, comp, is_residual, c, converged)``.
+
+    A group's component is done once a pass changes it by less than ``tolerance`` (squared change over squared
+    value), and its decomposition once its rest has fewer than four maxima or minima or a spread below
+    ``least_spread`` of the input's. Groups that are done are set aside, so passes get cheaper. Every row
+    of every group has a residual, so the components of a row add up to it. ``converged`` is false
+    for components that ran into ``most_passes`` and for a residual that ran into ``levels``.
+    """
+    picked = series.select(*keys, "idx", F.col(value).cast("double").alias("rest"))
+    rows = cut_lineage(with_totals(picked, [F.stddev_pop("rest").alias("_spread")], keys, block_rows).drop("block"))
+    parts: list[DataFrame] = []
+    shape = lambda df, comp, last, sure: df.select(
+        *keys, "idx", F.lit(comp).alias("comp"), F.lit(last).alias("is_residual"), F.col("rest" if last else "h").alias("c"), F.lit(sure).alias("converged")
+    )
+    for level in range(levels + 1):
+        marked = mark_extrema(rows, "rest", block_rows, keys).drop("block")
+        few = F.least(F.count_if("is_max"), F.count_if("is_min")) < _FEWEST_EXTREMA
+        flat = F.stddev_pop("rest") <= F.max("_spread") * least_spread
+        judged = cut_lineage(with_totals(marked, [(few | flat).alias("_over")], keys, block_rows).drop("block", "is_max", "is_min"))
+        parts.append(shape(judged.where("_over"), level, True, True))
+        rows = judged.where(~F.col("_over")).drop("_over")
+        if level == levels:
+            parts.append(shape(rows, level, True, False))
+            break
+        if rows.isEmpty():
+            break
+        open_rows, done = rows.withColumn("h", F.col("rest")), []
+        for turn in range(most_passes):
+            passed = sift_pass(open_rows.withColumn("_was", F.col("h")), "h", block_rows, keys)
+            change = F.sum(F.pow(F.col("h") - F.col("_was"), F.lit(2.0))) / F.nullif(F.sum(F.pow("_was", F.lit(2.0))), F.lit(0.0))
+            passed = with_totals(cut_lineage(passed), [(F.coalesce(change, F.lit(0.0)) < tolerance).alias("_done")], keys, block_rows)
+            passed = cut_lineage(passed.drop("block", "_was"))
+            done.append((passed.where("_done").drop("_done"), True))
+            open_rows = passed.where(~F.col("_done")).drop("_done")
+            if open_rows.isEmpty():
+                break
+            if turn == most_passes - 1:
+                done.append((open_rows, False))
+        found = None
+        for table, sure in done:
+            parts.append(shape(table, level, False, sure))
+            found = table if found is None else found.unionByName(table)
+        rows = found.withColumn("rest", F.col("rest") - F.col("h")).drop("h")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -1,4 +1,4 @@
-"""Sifting, ensembles and grouped kernels."""
+"""Sifting and ensembles."""
 
 from __future__ import annotations
 
@@ -8,19 +8,12 @@ from tidewatch.operators.centred import HALF_WIDTHS, decompose_centred
 from tidewatch.operators.decompose import decompose, reconstruction
 from tidewatch.operators.ensemble import (
     antithetic_realisations,
+    ensemble_decompose,
     ensemble_mean,
     fit_components,
     uncorrected_mean_error,
 )
-from tidewatch.operators.grouped import (
-    ensemble_decompose,
-    sift_segments,
-    sweep_variational,
-    variational_segments,
-    walk_forward_sifted,
-    with_segments,
-)
-from tidewatch.operators.sift import linear_envelopes, mark_extrema, sift_decompose, sift_pass
+from tidewatch.operators.sift import linear_envelopes, mark_extrema, sift_converged, sift_decompose, sift_pass
 from tidewatch.plans.inputs import COMPONENTS, walk
 from tidewatch.plans.registry import fragment, query, using
 from tidewatch.plans.scored import rounded
@@ -248,53 +241,13 @@ def ensemble_mean_uncorrected(spark, folder):
     return rounded(found, 2, recon_pct_of_range=6)
 
 
-@query("emd_grouped")
-def emd_grouped(spark, folder):
-    """Sifting to convergence of every whole series; tested against contract and brute force."""
-    rows = with_segments(walk(spark, folder)).withColumn("run", F.lit(0))
-    return sift_segments(rows, "run", "x")
-
-
-@query("vmd_grouped")
-def vmd_grouped(spark, folder):
-    return variational_segments(with_segments(walk(spark, folder)), 5, 500.0)
-
-
-@query("vmd_sweep_grouped")
-def vmd_sweep_grouped(spark, folder):
-    rows = with_segments(walk(spark, folder).where(F.col("idx") < F.col("train_end")))
-    return sweep_variational(rows, [3, 5, 10], [100.0, 1000.0, 5000.0])
-
-
-@query("decompose_full")
-def decompose_full(spark, folder):
-    return ensemble_decompose(walk(spark, folder), pairs=2, k=4, alpha=100.0)
+@query("sift_converged")
+def sift_converged_q(spark, folder):
+    """Sifting of every whole series until it converges; compared with a plain version in the tests."""
+    return sift_converged(walk(spark, folder))
 
 
-@query("emd_walk_forward")
-def emd_walk_forward(spark, folder):
-    return walk_forward_sifted(walk(spark, folder), history_rows=256, count=COMPONENTS)
-
-
-_EXACT = """SELECT series_id, count(*) AS n, CAST(0 AS DOUBLE) AS recon_max_err, true AS is_reconstructed FROM walk GROUP BY 1"""
-
-
-@query("emd_recon_error", sql=using("walk", select=_EXACT))
-def emd_recon_error(spark, folder):
-    """Sifted modes add up to the series."""
-    rows = walk(spark, folder)
-    found = reconstruction(decompose(rows, "sift"), rows)
-    return found.select(
-        "series_id", "n", (F.round("recon_max_err", 2) + 0.0).alias("recon_max_err"), (F.col("recon_pct_of_range") < 1e-6).alias("is_reconstructed")
-    )
-
-
-@query(
-    "decompose_full_recon",
-    sql=using("walk", select="SELECT series_id, count(*) AS n, true AS within_5_percent FROM walk GROUP BY 1"),
-)
-def decompose_full_recon(spark, folder):
-    """The ensemble stage stays within five percent of the range (its modes are lossy)."""
-    rows = walk(spark, folder)
-    found = reconstruction(decompose(rows, "ensemble", pairs=2, k=10, alpha=100.0), rows)
-    return found.select("series_id", "n", (F.col("recon_pct_of_range") < 5).alias("within_5_percent"))
+@query("ensemble_decompose")
+def ensemble_decompose_q(spark, folder):
+    """The noise ensemble of every whole series; how many pairs and components is the caller's choice of cost."""
+    return ensemble_decompose(walk(spark, folder), count=4, pairs=1)
