@@ -8,7 +8,7 @@ from tests import brute
 from tidewatch.operators.baselines import benchmark_forecasts
 from tidewatch.operators.blocks import index_rows, running, with_totals
 from tidewatch.operators.centred import decompose_centred
-from tidewatch.operators.forecast import assemble, bias_corrected, component_forecasts
+from tidewatch.operators.forecast import assemble, assembly_gaps, bias_corrected, complete, component_forecasts
 from tidewatch.operators.prepare import history_summary, origin_tail, sliding_windows
 from tidewatch.operators.protocols import full_series_windows, walk_forward_windows
 from tidewatch.operators.quality import recover_index, zero_crossings
@@ -198,9 +198,11 @@ def test_linear_forecasts(data):
             tail = brute.centred(x[:i])[:, comp]
             expected = tail[-1] + coef @ [tail[-2] - tail[-1], tail[-3] - tail[-1], 1.0]
             assert rows[("s0", comp, "lag2", i)].p == pytest.approx(expected, abs=1e-6)
-    whole = assemble(parts, 6).cache()
+    whole = complete(assemble(parts, 6)).cache()
     assert whole.count() == 2 * sum(n - 30 for n in LENGTHS)
-    assert assemble(parts.where("not (comp = 2 and series_id = 's1')"), 6).where("series_id = 's1'").count() == 0
+    lacking = assemble(parts.where("not (comp = 2 and series_id = 's1')"), 6)
+    assert complete(lacking).where("series_id = 's1'").count() == 0
+    assert {(r.series_id, r.n_incomplete == r.n_rows, r.fewest_parts) for r in assembly_gaps(lacking).collect()} == {("s0", False, 6), ("s1", True, 5)}
     fixed = bias_corrected(whole, block_rows=BLOCK).where("series_id = 's0' and model = 'lag1'").collect()
     train = sorted((r for r in whole.where("series_id = 's0' and model = 'lag1' and split = 'train'").collect()), key=lambda r: r.idx)
     k = max(10, int(0.1 * len(train)))

@@ -73,7 +73,8 @@ def join_totals(
     per_block = totals.withColumn(
         "block", F.explode(F.sequence(F.lit(0), (F.col(last_idx) / F.lit(block_rows)).cast("int")))
     ).drop(last_idx)
-    return df.withColumn("block", home_block(block_rows)).join(per_block, [*keys, "block"], how)
+    # Catalyst knows the size of ``totals`` only, not what it becomes per block: never a broadcast.
+    return df.withColumn("block", home_block(block_rows)).join(per_block.hint("merge"), [*keys, "block"], how)
 
 
 def with_totals(
@@ -118,6 +119,12 @@ def running(
     ).drop(*[f"_{o}" for o in outputs])
 
 
+def unplaced_rows(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """What ``index_rows`` can't number: rows without a key or a time, counted by what they lack."""
+    lacking = F.concat_ws(",", *[F.when(F.col(c).isNull(), F.lit(c)) for c in [*keys, order]])
+    return df.withColumn("lacking", lacking).where(F.col("lacking") != "").groupBy("lacking").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def index_rows(
     df: DataFrame,
     keys: Sequence[str],
@@ -129,7 +136,8 @@ def index_rows(
 
     Rows are numbered inside a calendar bucket and shifted by the count of all
     earlier buckets.  ``order`` must be unique within a group (bars are), so a
-    bucket holds at most ``days_per_bucket`` days of bars.  For every column in
+    bucket holds at most ``days_per_bucket`` days of bars.  Rows without a key or a
+    time have no place in any series; ``unplaced_rows`` reports them.  For every column in
     ``sums`` the same pass also yields ``<c>_run`` (running sum) and ``<c>_total``.
     """
     rows = df.withColumn("_bucket", F.floor(F.unix_date(F.to_date(order)) / F.lit(days_per_bucket)).cast("int"))

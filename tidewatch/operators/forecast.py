@@ -58,17 +58,32 @@ def component_forecasts(
 
 
 def assemble(parts: DataFrame, expected: int) -> DataFrame:
-    """Sum of component forecasts per row, only where every component is present."""
+    """Sum of component forecasts per row, with ``n_parts`` and ``is_complete``.
+
+    A row that lacks a component keeps its target and has no forecast, so that a caller can refuse it or report it.
+    """
     return (
         parts.groupBy(*DATASET_MODEL, "idx", "split", "test_start")
         .agg(
             F.max("x").alias("y"),
             F.sum("p").alias("y_pred"),
             F.sum("last").alias("input_last"),
-            F.count("p").alias("_parts"),
+            F.count("p").alias("n_parts"),
         )
-        .where(F.col("_parts") == expected)
-        .drop("_parts")
+        .withColumn("is_complete", F.col("n_parts") == expected)
+        .withColumns({c: F.when(F.col("is_complete"), F.col(c)) for c in ("y_pred", "input_last")})
+    )
+
+
+def complete(forecasts: DataFrame) -> DataFrame:
+    """Rows with a forecast from every component."""
+    return forecasts.where("is_complete").drop("n_parts", "is_complete")
+
+
+def assembly_gaps(forecasts: DataFrame) -> DataFrame:
+    """Per dataset and model: rows that can't be used for want of a component, and the fewest parts any row has."""
+    return forecasts.groupBy(*DATASET_MODEL).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(~F.col("is_complete")).alias("n_incomplete"), F.min("n_parts").alias("fewest_parts")
     )
 
 

@@ -217,7 +217,9 @@ def damaged_windows(spark, folder):
     rows = rows.where(~(walked & (s == "A_Low")))
     rows = rows.where(~(full & (s == "N_High") & (F.col("comp") == 3)))
     rows = rows.where(~(walked & (s == "R_High") & idx.between(F.col("test_start") + 10, F.col("test_start") + 19)))
-    return rows.withColumn("x", F.when(full & (s == "N_Low"), F.col("x") * 1.01).otherwise(F.col("x"))).withColumn(
+    lost = walked & (s == "A_High") & (idx == F.col("test_start") + 3)
+    target = F.when(full & (s == "N_Low"), F.col("x") * 1.01).when(~lost, F.col("x"))
+    return rows.withColumn("x", target).withColumn(
         "idx", F.when(walked & (s == "R_Low"), idx + 5).otherwise(idx)
     )
 
@@ -229,7 +231,8 @@ def damaged_windows(spark, folder):
         "walk",
         select=f""", damaged AS (
     SELECT series_id, protocol, comp, CASE WHEN protocol = 'walk_forward' AND series_id = 'R_Low' THEN idx + 5 ELSE idx END AS idx,
-      CASE WHEN protocol = 'full_series' AND series_id = 'N_Low' THEN x * CAST(1.01 AS DOUBLE) ELSE x END AS x FROM wins WHERE split = 'test'
+      CASE WHEN protocol = 'full_series' AND series_id = 'N_Low' THEN x * CAST(1.01 AS DOUBLE)
+        WHEN protocol = 'walk_forward' AND series_id = 'A_High' AND idx = test_start + 3 THEN NULL ELSE x END AS x FROM wins WHERE split = 'test'
       AND NOT (protocol = 'walk_forward' AND series_id = 'A_Low') AND NOT (protocol = 'full_series' AND series_id = 'N_High' AND comp = 3)
       AND NOT (protocol = 'walk_forward' AND series_id = 'R_High' AND idx BETWEEN test_start + 10 AND test_start + 19)),
     rows AS (SELECT d.series_id, d.protocol, d.idx, count(DISTINCT comp) AS k, any_value(d.x) AS t, any_value(w.x) AS x

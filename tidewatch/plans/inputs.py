@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.operators.centred import HALF_WIDTHS
-from tidewatch.operators.forecast import assemble, component_forecasts
+from tidewatch.operators.forecast import assemble, complete, component_forecasts
 from tidewatch.operators.protocols import full_series_windows, walk_forward_windows
 from tidewatch.plans.registry import fragment
 from tidewatch.sources.bars import bars, series_from_bars, walk_from_bars
@@ -82,7 +82,7 @@ def parts(spark: SparkSession, folder: str) -> DataFrame:
 
 def forecasts(spark: SparkSession, folder: str) -> DataFrame:
     """Assembled forecasts, training rows included; built once per session."""
-    return remembered(spark, folder, "forecasts", lambda s, f: assemble(parts(s, f), COMPONENTS))
+    return remembered(spark, folder, "forecasts", lambda s, f: complete(assemble(parts(s, f), COMPONENTS)))
 
 
 def _levels(source: str, keep: str) -> str:

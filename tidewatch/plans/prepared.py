@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.operators.blocks import at_home, lane, spread
+from tidewatch.operators.blocks import at_home, lane, spread, unplaced_rows
 from tidewatch.operators.prepare import (
     even_history_summary,
     history_summary,
@@ -32,7 +32,7 @@ fragment(
 
 
 def window_shape(w: str = "w") -> list:
-    """A window as hash-friendly scalars: four of its elements, its size and its extremes."""
+    """A window as hash-friendly scalars: four of its elements, its size, its extremes, and a sum that weights every element by its place."""
     return [
         F.round(F.get(w, F.lit(0)), 4).alias("w_first"),
         F.round(F.get(w, F.lit(9)), 4).alias("w_10"),
@@ -41,13 +41,15 @@ def window_shape(w: str = "w") -> list:
         F.size(w).alias("w_size"),
         F.round(F.array_min(w), 4).alias("w_min"),
         F.round(F.array_max(w), 4).alias("w_max"),
+        F.round(F.aggregate(F.transform(w, lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v) / 465, 1).alias("w_weighted"),
     ]
 
 
 def window_shape_sql(w: str = "w") -> str:
     return f"""round({w}[1], 4) AS w_first, round({w}[10], 4) AS w_10, round({w}[20], 4) AS w_20,
     round({w}[-1], 4) AS w_last, CAST(len({w}) AS INTEGER) AS w_size,
-    round(list_min({w}), 4) AS w_min, round(list_max({w}), 4) AS w_max"""
+    round(list_min({w}), 4) AS w_min, round(list_max({w}), 4) AS w_max,
+    round(list_sum(list_transform({w}, lambda v, i: v * i)) / 465, 1) AS w_weighted"""
 
 
 @query("bars_daily", sql=using("bars", select="SELECT symbol, day, high, low FROM bars"))
@@ -55,6 +57,21 @@ def bars_daily(spark, folder):
     return item_bars(spark, folder)
 
 
+@query(
+    "unplaced_rows",
+    sql=using(
+        "bars",
+        select="""SELECT CASE WHEN k IS NULL AND d IS NULL THEN 'symbol,day' WHEN k IS NULL THEN 'symbol' ELSE 'day' END AS lacking, count(*) AS n_rows
+    FROM (SELECT CASE WHEN day(day) <> 13 THEN symbol END AS k, CASE WHEN month(day) <> 5 THEN day END AS d FROM bars) WHERE k IS NULL OR d IS NULL GROUP BY 1""",
+    ),
+)
+def unplaced(spark, folder):
+    """Bars whose symbol or day got lost, which no series can hold."""
+    bars = item_bars(spark, folder)
+    lost = bars.select(F.when(F.day("day") != 13, F.col("symbol")).alias("symbol"), F.when(F.month("day") != 5, F.col("day")).alias("day"))
+    return unplaced_rows(lost, ["symbol"], "day")
+
+
 @query(
     "bars_hourly",
     sql="""SELECT event_type AS symbol, date_trunc('hour', ts) AS hour, max(value) AS high, min(value) AS low

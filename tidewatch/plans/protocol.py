@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.blocks import at_home, lane, spread, with_totals
 from tidewatch.operators.centred import HALF_WIDTHS, decompose_centred, long_components
-from tidewatch.operators.forecast import bias_corrected
+from tidewatch.operators.forecast import assemble, assembly_gaps, bias_corrected
 from tidewatch.operators.protocols import full_series_windows, walk_forward_windows
 from tidewatch.operators.scaling import once, out_of_range_share, scale_windows, unscale
 from tidewatch.operators.scoring import score
@@ -214,6 +214,23 @@ def assemble_forecast(spark, folder):
     return rows.select("series_id", "protocol", "model", "idx", "y", F.round("y_pred", 2).alias("y_pred"))
 
 
+def some_parts_lost(spark, folder):
+    """Component forecasts without the third component of every seventh row."""
+    return parts(spark, folder).where((F.col("comp") != 2) | (F.col("idx") % 7 != 0))
+
+
+@query(
+    "assembly_gaps",
+    sql=using(
+        "parts",
+        select=f"""SELECT series_id, protocol, model, count(*) AS n_rows, count(*) FILTER (WHERE k < {COMPONENTS}) AS n_incomplete, min(k) AS fewest_parts
+    FROM (SELECT series_id, protocol, model, idx, count(*) AS k FROM parts WHERE comp <> 2 OR idx % 7 <> 0 GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3""",
+    ),
+)
+def assembly_gaps_q(spark, folder):
+    return assembly_gaps(assemble(some_parts_lost(spark, folder), COMPONENTS))
+
+
 @query(
     "fc_input_persistence",
     sql=using(
