@@ -61,7 +61,7 @@ def ngram_overlap(
         .select("n", "gram", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"), F.lit(1).alias("_hit"))
     )
     return (
-        grams.join(known, ["n", "gram", "_salt"], "left")
+        grams.join(known.hint("merge"), ["n", "gram", "_salt"], "left")
         .groupBy(key, "n")
         .agg(F.max("_total").alias("n_grams"), F.count("_hit").alias("n_shared"))
         .withColumn("share_pct", F.col("n_shared") * 100.0 / F.greatest(F.col("n_grams"), F.lit(1)))

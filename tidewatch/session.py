@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,13 +30,16 @@ def build_session(app: str = "tidewatch", cpus: int | str = "*", shuffle_partiti
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of the session.
 
-    On a cluster that is what ``spark.checkpoint.dir`` names; only when it is unset
-    (tests on one machine) is a temporary folder used.
+    On a cluster that is what ``spark.checkpoint.dir`` names. Only where it is unset, as in tests, a folder
+    in the session's warehouse is set, which the session shares with its executors too, and which goes when the session ends.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stages")
+        if not named:
+            path = context._jvm.org.apache.hadoop.fs.Path(context.getCheckpointDir())
+            path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
     return context.getCheckpointDir()
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.operators.blocks import home_block
+from tidewatch.session import cut_lineage
 
 SERIES_BUCKETS = 64
 UNIT = ("series_id", "protocol", "model", "comp")
@@ -70,9 +71,12 @@ def write_parts(parts: DataFrame, path: str, buckets: int = SERIES_BUCKETS) -> N
         kept = earlier.join(touched, ["protocol", "model", "series_bucket"], "left_semi").join(
             fresh.select(*UNIT).distinct(), list(UNIT), "left_anti"
         )
-        fresh = fresh.unionByName(kept)
+        # Written apart first: what is read must not be what is being replaced.
+        fresh = cut_lineage(fresh.unionByName(kept))
     (
-        fresh.repartition("protocol", "model", "series_bucket", "comp")
+        fresh.withColumn("_block", home_block())
+        .repartition("protocol", "model", "series_bucket", "comp", "_block")
+        .drop("_block")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("protocol", "model", "series_bucket")
