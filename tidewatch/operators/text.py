@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.session import cut_lineage
+
 SIZES = (6, 7, 8, 10)
 _WORD = "[a-z]+"
 
@@ -41,28 +43,30 @@ def ngram_overlap(
     source_text: str,
     sizes: Sequence[int] = SIZES,
     salts: int = 8,
+    most_known: int = 500_000,
 ) -> DataFrame:
     """Per text and size: distinct n-grams, those also in any source, and their share in percent.
 
-    Distinct n-grams of a text need no shuffle.  The join to the distinct n-grams of
-    the sources is salted by text, because boilerplate shared by a large part of the
-    texts would otherwise send them all to one task; the sources are the smaller side
-    and are repeated once per salt.
+    Distinct n-grams of a text need no shuffle.  Those of the sources are written and
+    counted: up to ``most_known`` are broadcast, and nothing but counts per text moves.
+    Beyond that the join shuffles, salted by text, because boilerplate shared by a large
+    part of the texts would otherwise send them all to one task; the sources' n-grams are
+    repeated once per salt.
     """
     per_text = with_ngrams(texts, key, text, sizes)
     salt = F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")
     grams = per_text.select(
         key, "n", salt.alias("_salt"), F.explode_outer("grams").alias("gram"), F.size("grams").alias("_total")
     )
-    known = (
-        with_ngrams(sources, source_key, source_text, sizes)
-        .select("n", F.explode("grams").alias("gram"))
-        .distinct()
-        .select("n", "gram", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"), F.lit(1).alias("_hit"))
-    )
+    known = with_ngrams(sources, source_key, source_text, sizes).select("n", F.explode("grams").alias("gram")).distinct()
+    known = cut_lineage(known).withColumn("_hit", F.lit(1))
+    if known.count() <= most_known:
+        joined = grams.join(F.broadcast(known), ["n", "gram"], "left")
+    else:
+        repeated = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = grams.join(repeated.hint("merge"), ["n", "gram", "_salt"], "left")
     return (
-        grams.join(known.hint("merge"), ["n", "gram", "_salt"], "left")
-        .groupBy(key, "n")
+        joined.groupBy(key, "n")
         .agg(F.max("_total").alias("n_grams"), F.count("_hit").alias("n_shared"))
         .withColumn("share_pct", F.col("n_shared") * 100.0 / F.greatest(F.col("n_grams"), F.lit(1)))
     )
