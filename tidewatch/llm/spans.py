@@ -17,7 +17,16 @@ SLICE_BYTES = 1 << 21
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _UNODD = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
+
+
+class _Powers(dict):
+    """Tables of this process; they are made anew where they are needed, never sent."""
+
+    def __reduce__(self):
+        return _Powers, ()
+
+
+_powers = _Powers()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
