@@ -13,8 +13,9 @@ the merge brought up; candidates that reach the required overlap are kept.
   below how much the sets differ; only pairs that pass are compared in full.
 * Short lists are spread over the cluster by shingle. A list of many members isn't expanded
   into pairs: in each of a few rounds its members are compared with one of them, and members
-  already known to be in one component are not compared. What may still link two
-  components after that is compared in full, so the components are exact.
+  already known to be in one component are not compared. Members of different components that are
+  then still on one list are compared by their sketches inside the task that holds the list (or two
+  parts of it), which hands on only the pairs that are close; so the components are exact.
 
 Shingles are known by 64-bit hashes. Defined cases: a text of fewer words than a shingle, but
 some, is one shingle of all its words; null texts and texts without words have empty sets, link with
@@ -48,7 +49,7 @@ FREQUENT = 100_000
 #: A list of more members is dealt to several tasks.
 LIST_ROWS = 4096
 #: Rounds in which long lists are compared with one member.
-ROUNDS = 3
+ROUNDS = 2
 
 
 def sets_of(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -201,6 +202,69 @@ def _close(percent: int):
     return close
 
 
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _close_in_list(node, label, n, side, sketch, percent: int):
+    """Pairs of members of one list, of two components, whose sketches are close; of two parts if there are two sides."""
+    order = np.argsort(n, kind="stable")
+    node, label, n, side, sketch = node[order], label[order], n[order], side[order], [sketch[k] for k in order]
+    length = np.array([len(x) for x in sketch])
+    own, folded, place = {}, {}, np.zeros(len(n), np.int64)
+    for size in np.unique(length):
+        at = np.flatnonzero(length == size)
+        place[at] = np.arange(len(at))
+        own[size] = np.frombuffer(b"".join(sketch[k] for k in at), np.uint8).reshape(len(at), size)
+        folded[size] = own[size][:, : size // 2] ^ own[size][:, size // 2 :]
+    two = side.min() != side.max()
+    last = np.searchsorted(n, 100 * n // percent, side="right")
+    for k in range(len(n)):
+        others = np.arange(k + 1, last[k])
+        others = others[(label[others] != label[k]) & ((side[others] != side[k]) | (not two))]
+        if not len(others):
+            continue
+        mine = own[length[k]][place[k]]
+        for table, size in ((own, length[k]), (folded, 2 * length[k])):
+            some = others[length[others] == size]
+            if len(some):
+                differ = np.bitwise_count(table[size][place[some]] ^ mine).sum(1, dtype=np.int64)
+                for j in some[(100 + percent) * differ <= (100 - percent) * (n[k] + n[some])]:
+                    yield (node[k], node[j]) if node[k] < node[j] else (node[j], node[k])
+
+
+def _search_lists(percent: int):
+    """Rows of lists, sorted by list, to the close pairs of each."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def pairs(table: pa.Table):
+            key = np.stack([table.column(k).to_numpy() for k in range(3)])
+            cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
+            columns = [table.column(k).to_numpy() for k in range(3, 7)]
+            sketch = table.column(7).to_pylist()
+            for a, b in zip([0, *cuts], [*cuts, table.num_rows]):
+                yield from _close_in_list(*(c[a:b] for c in columns), sketch[a:b], percent)
+
+        def batch_of(found: set):
+            return _batch({"a": [x for x, _ in found], "b": [y for _, y in found]}, _PAIRS)
+
+        for batch in batches:
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            key = np.stack([table.column(k).to_numpy() for k in range(3)])
+            turn = np.flatnonzero((key != key[:, -1:]).any(0))
+            # the last list may go on in the next batch
+            whole = int(turn[-1]) + 1 if len(turn) else 0
+            if whole:
+                yield batch_of(set(pairs(table.slice(0, whole))))
+            held = table.slice(whole).to_batches()
+        if held:
+            yield batch_of(set(pairs(pa.Table.from_batches(held))))
+
+    return search
+
+
 def near_duplicates(
     docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
     frequent: int = FREQUENT, list_rows: int = LIST_ROWS, rounds: int = ROUNDS,
@@ -235,14 +299,21 @@ def near_duplicates(
     texts = stored(rows.join(wanted, rows["id"] == wanted["node"], "left_semi"))
     sketches = stored(classes.join(wanted, "node", "left_semi").select("node", "n", "sketch"))
 
+    def verified(near: DataFrame) -> DataFrame:
+        x, y = (texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
+        both = near.join(x, "a").join(y, "b").select("a", "b", "ta", "tb")
+        return stored(both.mapInArrow(_verify(size, percent), "a long, b long"))
+
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that reach the similarity; texts are fetched only for those whose sketches are close."""
         x, y = (sketches.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
         near = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_close(percent), "a long, b long")
-        near = stored(near.distinct())
-        x, y = (texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
-        both = near.join(x, "a").join(y, "b").select("a", "b", "ta", "tb")
-        return stored(both.mapInArrow(_verify(size, percent), "a long, b long").distinct())
+        return verified(stored(near))
+
+    def grown(roots: DataFrame | None, new: DataFrame) -> DataFrame | None:
+        if new.isEmpty():
+            return roots
+        return components(new if roots is None else new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
     near = F.least("n_set", "o_set") * 100 >= F.greatest("n_set", "o_set") * percent
     roots = None
@@ -255,16 +326,15 @@ def near_duplicates(
         tops = tops.select(F.col("o.node").alias("x"), F.col("o.label").alias("xl"), F.col("t.node").alias("y"), F.col("t.label").alias("yl"), F.col("o.n_set").alias("n_set"), F.col("t.n_set").alias("o_set"))
         stars = stars.select(F.col("node").alias("x"), F.col("label").alias("xl"), F.col("o.node").alias("y"), F.col("o.label").alias("yl"), "n_set", F.col("o.n_set").alias("o_set"))
         pairs = stars.unionByName(tops).where((F.col("xl") != F.col("yl")) & near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        new = linked(pairs)
-        if not new.isEmpty():
-            roots = components(new if roots is None else new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        roots = grown(roots, linked(pairs))
         current = _mixed(listed, roots)
-    # Whatever is still apart on one list is compared in full.
-    left, right = current, current.select("shingle", F.col("node").alias("other"), F.col("label").alias("other_label"), F.col("n_set").alias("o_set"))
-    rest = left.join(right, "shingle").where((F.col("node") < F.col("other")) & (F.col("label") != F.col("other_label")) & near)
-    new = linked(rest.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct())
-    if not new.isEmpty():
-        roots = components(new if roots is None else new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    # Whatever is still apart on one list: each pair of its parts is one piece of work.
+    parts = current.groupBy("shingle").agg(F.array_sort(F.collect_set("salt")).alias("salts"))
+    rest = current.join(parts, "shingle").withColumn("o", F.explode("salts"))
+    rest = rest.select("shingle", F.least("salt", "o").alias("p"), F.greatest("salt", "o").alias("q"), "node", "label", F.col("salt").alias("side"))
+    rest = rest.join(sketches, "node").select("shingle", "p", "q", "node", "label", "n", "side", "sketch")
+    rest = rest.repartition("shingle", "p", "q").sortWithinPartitions("shingle", "p", "q")
+    roots = grown(roots, verified(stored(rest.mapInArrow(_search_lists(percent), "a long, b long").distinct())))
 
     sizes = classes.select("k1", "k2", "n", "node")
     if roots is not None:

@@ -16,7 +16,6 @@ def components(links: DataFrame) -> DataFrame:
     holds more links than there were. Null ends are ignored.
     """
     edges = stored(links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -24,7 +23,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
-        if now == before:
+        # Done when all are stars: every node hangs on one other, and on none that hangs itself.
+        ends = edges.select("u", F.lit(1).alias("hangs"), F.lit(0).alias("holds"))
+        ends = ends.unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+        if ends.groupBy("u").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).where("hangs > 1 or hangs = 1 and holds = 1").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
