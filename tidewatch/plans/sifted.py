@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.operators.centred import HALF_WIDTHS, decompose_centred
-from tidewatch.operators.decompose import decompose, reconstruction
 from tidewatch.operators.ensemble import (
     antithetic_realisations,
     ensemble_decompose,
