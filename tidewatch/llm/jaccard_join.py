@@ -9,7 +9,7 @@ the merge brought up; candidates that reach the required overlap are kept.
 * Lists are ordered short to long by their frequent shingles (counted over all texts; which of them
   reach the bounded table changes the work, never the result), ties by hash.
 * Equal sets are one candidate, found by a 128-bit key of the set.
-* A candidate pair is first compared by two sketches of about a bit per shingle, which bound from
+* A candidate pair is first compared by two sketches of four to eight bits per shingle, which bound from
   below how much the sets differ; only pairs that pass are compared in full.
 * Short lists are spread over the cluster by shingle. A list of many members isn't expanded
   into pairs: in each of a few rounds its members are compared with one of them, and members
@@ -79,7 +79,7 @@ def odd_sketch(own: np.ndarray) -> bytes:
     Every shingle that is in one of two sets alone flips one bit, so two sketches never differ in more
     bits than the sets differ in shingles.
     """
-    bits = max(64, 1 << (len(own) - 1).bit_length())
+    bits = max(256, 4 << (len(own) - 1).bit_length())
     counts = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
