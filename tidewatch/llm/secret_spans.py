@@ -301,7 +301,14 @@ def fit(texts: DataFrame, sample_texts: int = SAMPLE_TEXTS, sample_sequences: in
     named = F.lit(False)
     for name in (*_NAMES, "AKIA"):
         named = named | F.contains(F.col("text"), F.lit(name))
-    half = lambda rows: rows.select("text", F.xxhash64("text").alias("h")).orderBy("h", F.octet_length("text")).limit(sample_texts // 2).select("text")
+
+    def half(rows: DataFrame) -> DataFrame:
+        """Texts with the least hashes; what is sorted are the hashes alone, and only texts below their bound are moved."""
+        n, hashed = sample_texts // 2, rows.select("text", F.xxhash64("text").alias("h"))
+        bound = hashed.select("h").orderBy("h").limit(n).agg(F.max("h")).first()[0]
+        # copies of one text have one hash
+        return hashed.where(F.col("h") <= F.lit(bound)).dropDuplicates(["h"]).select("text") if bound is not None else rows.select("text")
+
     sample = half(texts.where(named)).unionByName(half(texts.where(~named)))
     rows = stored(sample.repartition(8).mapInArrow(_sequences, "codes binary, tags binary"))
     rows = rows.orderBy(F.xxhash64("codes"), "tags").limit(sample_sequences).collect()
