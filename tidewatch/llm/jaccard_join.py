@@ -205,8 +205,11 @@ def _close(percent: int):
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _close_in_list(node, label, n, side, sketch, percent: int):
-    """Pairs of members of one list, of two components, whose sketches are close; of two parts if there are two sides."""
+def _close_in_list(node, label, n, side, sketch, percent: int, nearest: bool):
+    """Pairs of members of one list, of two components, whose sketches are close; of two parts if there are two sides.
+
+    With ``nearest``, one pair for each member that has any: that with the closest other.
+    """
     order = np.argsort(n, kind="stable")
     node, label, n, side, sketch = node[order], label[order], n[order], side[order], [sketch[k] for k in order]
     length = np.array([len(x) for x in sketch])
@@ -218,6 +221,7 @@ def _close_in_list(node, label, n, side, sketch, percent: int):
         folded[size] = own[size][:, : size // 2] ^ own[size][:, size // 2 :]
     two = side.min() != side.max()
     last = np.searchsorted(n, 100 * n // percent, side="right")
+    least, best = np.full(len(n), np.iinfo(np.int64).max), np.full(len(n), -1)
     for k in range(len(n)):
         others = np.arange(k + 1, last[k])
         others = others[(label[others] != label[k]) & ((side[others] != side[k]) | (not two))]
@@ -228,11 +232,22 @@ def _close_in_list(node, label, n, side, sketch, percent: int):
             some = others[length[others] == size]
             if len(some):
                 differ = np.bitwise_count(table[size][place[some]] ^ mine).sum(1, dtype=np.int64)
-                for j in some[(100 + percent) * differ <= (100 - percent) * (n[k] + n[some])]:
-                    yield (node[k], node[j]) if node[k] < node[j] else (node[j], node[k])
-
-
-def _search_lists(percent: int):
+                close = (100 + percent) * differ <= (100 - percent) * (n[k] + n[some])
+                some, differ = some[close], differ[close]
+                if not nearest:
+                    for j in some:
+                        yield (node[k], node[j]) if node[k] < node[j] else (node[j], node[k])
+                elif len(some):
+                    better = differ < least[some]
+                    least[some[better]], best[some[better]] = differ[better], k
+                    if differ.min() < least[k]:
+                        least[k], best[k] = differ.min(), some[differ.argmin()]
+    for k in np.flatnonzero(best >= 0):
+        a, b = node[k], node[best[k]]
+        yield (a, b) if a < b else (b, a)
+
+
+def _search_lists(percent: int, nearest: bool):
     """Rows of lists, sorted by list, to the close pairs of each."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +259,7 @@ def _search_lists(percent: int):
             columns = [table.column(k).to_numpy() for k in range(3, 7)]
             sketch = table.column(7).to_pylist()
             for a, b in zip([0, *cuts], [*cuts, table.num_rows]):
-                yield from _close_in_list(*(c[a:b] for c in columns), sketch[a:b], percent)
+                yield from _close_in_list(*(c[a:b] for c in columns), sketch[a:b], percent, nearest)
 
         def batch_of(found: set):
             return _batch({"a": [x for x, _ in found], "b": [y for _, y in found]}, _PAIRS)
@@ -328,13 +343,17 @@ def near_duplicates(
         pairs = stars.unionByName(tops).where((F.col("xl") != F.col("yl")) & near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         roots = grown(roots, linked(pairs))
         current = _mixed(listed, roots)
-    # Whatever is still apart on one list: each pair of its parts is one piece of work.
-    parts = current.groupBy("shingle").agg(F.array_sort(F.collect_set("salt")).alias("salts"))
-    rest = current.join(parts, "shingle").withColumn("o", F.explode("salts"))
-    rest = rest.select("shingle", F.least("salt", "o").alias("p"), F.greatest("salt", "o").alias("q"), "node", "label", F.col("salt").alias("side"))
-    rest = rest.join(sketches, "node").select("shingle", "p", "q", "node", "label", "n", "side", "sketch")
-    rest = rest.repartition("shingle", "p", "q").sortWithinPartitions("shingle", "p", "q")
-    roots = grown(roots, verified(stored(rest.mapInArrow(_search_lists(percent), "a long, b long").distinct())))
+    # Whatever is still apart on one list: each pair of its parts is one piece of work. First every member is
+    # compared with its nearest of another component, which joins most that belong together; then all that are left.
+    for nearest in (True, False):
+        parts = current.groupBy("shingle").agg(F.array_sort(F.collect_set("salt")).alias("salts"))
+        rest = current.join(parts, "shingle").withColumn("o", F.explode("salts"))
+        rest = rest.select("shingle", F.least("salt", "o").alias("p"), F.greatest("salt", "o").alias("q"), "node", "label", F.col("salt").alias("side"))
+        rest = rest.join(sketches, "node").select("shingle", "p", "q", "node", "label", "n", "side", "sketch")
+        rest = rest.repartition("shingle", "p", "q").sortWithinPartitions("shingle", "p", "q")
+        roots = grown(roots, verified(stored(rest.mapInArrow(_search_lists(percent, nearest), "a long, b long").distinct())))
+        if nearest:
+            current = _mixed(listed, roots)
 
     sizes = classes.select("k1", "k2", "n", "node")
     if roots is not None:
