@@ -74,6 +74,16 @@ def near_duplicates(rows, percent=80):
     return [(d, len(s), least.get(root(node))) for node, d, s in sets]
 
 
+def near_links(rows, percent=80):
+    sets = [(d, shingles(t)) for d, t in rows]
+    out = []
+    for k, (d, s) in enumerate(sets):
+        linked = [j for j, (_, t) in enumerate(sets) if j != k and s and 100 * len(s & t) >= percent * len(s | t)]
+        equal = [sets[j][0] for j in linked if sets[j][1] == s]
+        out.append((d, len(s), min((x for x in [d, *equal] if x is not None), default=None), 1 + len(equal), len(linked)))
+    return out
+
+
 def exact(rows):
     groups = defaultdict(list)
     for d, t in rows:

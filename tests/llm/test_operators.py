@@ -86,6 +86,36 @@ def test_near_duplicates_of_a_large_group(spark):
     odd.same(got, brute.near_duplicates(many))
 
 
+def check_links(spark, held, **options):
+    got = rows(jaccard_join.near_links(spark.createDataFrame(held, "doc_id long, text string"), **options), "doc_id", "n_shingles", "class_id", "class_size", "n_links")
+    odd.same(got, brute.near_links(held))
+
+
+def test_near_links(spark):
+    check_links(spark, odd.ROWS)
+    check_links(spark, [(k, f"nothing in common {k} " * 3) for k in range(5)])
+    assert jaccard_join.near_links(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("part", [256, 20, 1])
+def test_near_links_of_a_large_group(spark, part):
+    """Every link of a group of near copies, copies of them included, whatever is already in one component."""
+    many = []
+    for k in range(120):
+        own = [f"w{j}" for j in range(80)]
+        for j in range(k % 5):
+            own[(k * 7 + 16 * j) % 80] = f"x{k}{j}"
+        many.append((k, " ".join(own)))
+    check_links(spark, many + [(500 + k, many[k % 7][1].upper()) for k in range(20)] + [(3, many[9][1]), (None, many[9][1])], part=part, list_rows=50)
+
+
+def test_texts_of_one_id_are_one_node(spark):
+    """Their sets' nodes differ: one is also another row's text."""
+    held = [(1, odd.PASSAGE), (5, odd.ITEM), (9, odd.PASSAGE), (9, odd.ITEM), (9, " "), (4, "something else")]
+    got = rows(jaccard_join.near_duplicates(spark.createDataFrame(held, "doc_id long, text string")), "doc_id", "n_shingles", "component_id")
+    odd.same(got, brute.near_duplicates(held))
+
+
 def test_near_duplicates_of_nothing(none):
     assert jaccard_join.near_duplicates(none).count() == 0
 

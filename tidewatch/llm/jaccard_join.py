@@ -19,10 +19,15 @@ the merge brought up; candidates that reach the required overlap are kept.
 
 Shingles are known by 64-bit hashes. Defined cases: a text of fewer words than a shingle, but
 some, is one shingle of all its words; null texts and texts without words have empty sets, link with
-nothing and are their own components. Rows that share an id are one node, linked by any of
+nothing and are their own components. Nodes of the search are distinct sets, each known by the least 61-bit
+hash of its texts. For ``near_duplicates`` rows that share an id are one node, linked by any of
 their texts. Rows with a null id take part like others, and the component of one is the least
-id it reaches, null if none. Ids must be below 2**61. An empty table gives an empty result; other columns are
+id it reaches, null if none. An empty table gives an empty result; other columns are
 ignored.
+
+The search ends with components and skips pairs that are already in one. ``near_links`` counts the links
+themselves: every two different sets of a component are compared in full, once. A component of many sets is dealt to parts,
+and each pair of parts is one piece of work that hands on sums, so no list of pairs is written.
 """
 
 from __future__ import annotations
@@ -38,8 +43,8 @@ from tidewatch.llm.links import components
 from tidewatch.llm.rows import id_and_text, sized, stored
 from tidewatch.llm.spans import LOWER, WHITE, mix, shingle_hashes, slices, word_hashes, words
 
-#: Ids from here on stand for null ids.
-NO_ID = 1 << 61
+#: Nodes are hashes of texts modulo this.
+NODES = 1 << 61
 #: A shingle found in so many different sets of one stretch of a task is reported as frequent.
 LOCAL_SETS = 4
 #: Shingles of a stretch.
@@ -50,6 +55,8 @@ FREQUENT = 100_000
 LIST_ROWS = 4096
 #: Rounds in which long lists are compared with one member.
 ROUNDS = 2
+#: Sets of one part of a component when its links are counted.
+PART = 256
 
 
 def sets_of(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -96,7 +103,7 @@ def _batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
-_FIRST = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sketch", pa.binary())])
+_FIRST = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sketch", pa.binary())])
 _POST = pa.schema([("shingle", pa.int64()), ("salt", pa.int32()), ("k1", pa.int64())])
 
 
@@ -112,7 +119,7 @@ def _survey(size: int):
             if held:
                 found, times = np.unique(np.concatenate(held), return_counts=True)
                 found, times = found[times >= LOCAL_SETS], times[times >= LOCAL_SETS]
-                yield _batch({"kind": np.ones(len(found), np.int32), "id": np.zeros(len(found), np.int64), "n": times, "k1": found.astype(np.int64), "k2": np.zeros(len(found), np.int64), "sketch": [None] * len(found)}, _FIRST)
+                yield _batch({"kind": np.ones(len(found), np.int32), "doc": [None] * len(found), "id": np.zeros(len(found), np.int64), "n": times, "k1": found.astype(np.int64), "k2": np.zeros(len(found), np.int64), "sketch": [None] * len(found)}, _FIRST)
 
         for batch in batches:
             ids, n, k1, k2, sketch = batch.column(0), [], [], [], []
@@ -127,7 +134,7 @@ def _survey(size: int):
                     yield from frequent()
                     held, count = [], 0
                     seen.clear()
-            yield _batch({"kind": np.zeros(len(n), np.int32), "id": ids, "n": n, "k1": k1, "k2": k2, "sketch": sketch}, _FIRST)
+            yield _batch({"kind": np.zeros(len(n), np.int32), "doc": batch.column(2), "id": ids, "n": n, "k1": k1, "k2": k2, "sketch": sketch}, _FIRST)
         yield from frequent()
 
     return survey
@@ -280,16 +287,24 @@ def _search_lists(percent: int, nearest: bool):
     return search
 
 
-def near_duplicates(
-    docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
-    frequent: int = FREQUENT, list_rows: int = LIST_ROWS, rounds: int = ROUNDS,
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row; two rows link at ``percent`` hundredths or more."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, doc): the hash of the text, the text, the row's own id."""
+    return id_and_text(docs, id_col, text_col).select(F.pmod(F.xxhash64("text"), F.lit(NODES)).alias("id"), "text", F.col("doc_id").alias("doc"))
+
+
+def _grouped(
+    docs: DataFrame, id_col: str, text_col: str, size: int = 5, percent: int = 80, frequent: int = FREQUENT, list_rows: int = LIST_ROWS, rounds: int = ROUNDS
+) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Three stored tables.
+
+    (doc, id, n, node, root) of every row: its id, the hash of its text, its set's size and node, and the least node which
+    that reaches; no node and no root without words. (id, text) of every node that may have links. (node, root) of the nodes that
+    reach a lesser one; None if there are no links.
+    """
     spark = docs.sparkSession
-    rows = id_and_text(docs, id_col, text_col)
-    rows = rows.select(F.coalesce("doc_id", F.lit(NO_ID) + F.pmod(F.xxhash64("text"), F.lit(NO_ID))).alias("id"), "text")
-    first = stored(rows.mapInArrow(_survey(size), "kind int, id long, n long, k1 long, k2 long, sketch binary"))
-    sets = first.where("kind = 0").select("id", "n", "k1", "k2")
+    rows = _keyed(docs, id_col, text_col)
+    first = stored(rows.mapInArrow(_survey(size), "kind int, doc long, id long, n long, k1 long, k2 long, sketch binary"))
+    sets = first.where("kind = 0").select("doc", "id", "n", "k1", "k2")
 
     # Which shingles are frequent; the table's size is bounded, and any table gives the same result.
     table = first.where("kind = 1").groupBy("k1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "k1").limit(frequent).collect()
@@ -297,7 +312,8 @@ def near_duplicates(
     order = np.argsort(tokens)
     common = spark.sparkContext.broadcast((tokens[order], np.array([r["n"] for r in table], np.int64)[order]))
 
-    classes = stored(first.where("kind = 0 and n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("node"), F.any_value("sketch").alias("sketch")))
+    classes = stored(first.where("kind = 0 and n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "doc")).alias("least"), F.any_value("sketch").alias("sketch"))
+                     .select("k1", "k2", "n", F.col("least.id").alias("node"), F.col("least.doc").alias("doc"), "sketch"))
     posts = rows.select("id", "text").mapInArrow(_postings(size, percent, common, list_rows), "shingle long, salt int, k1 long")
     listed = posts.withColumn("members", F.count("*").over(Window.partitionBy("shingle", "salt")))
     listed = stored(listed.where("members > 1 or salt > 0").drop("members").distinct())
@@ -311,7 +327,10 @@ def near_duplicates(
     listed = stored(listed.join(chosen, "shingle", "left_semi"))
 
     wanted = sized(stored(listed.select("node").distinct()))
-    texts = stored(rows.join(wanted, rows["id"] == wanted["node"], "left_semi"))
+    source = sized(stored(classes.join(wanted, "node", "left_semi").select("node", F.col("doc").alias("of"))))
+    texts = stored(rows.join(source, (rows["id"] == source["node"]) & rows["doc"].eqNullSafe(source["of"]), "left_semi").select("id", "text"))
+    if not texts.groupBy("id").count().where("count > 1").isEmpty():
+        texts = stored(texts.dropDuplicates(["id"]))  # rows that repeat both id and text
     sketches = stored(classes.join(wanted, "node", "left_semi").select("node", "n", "sketch"))
 
     def verified(near: DataFrame) -> DataFrame:
@@ -357,13 +376,118 @@ def near_duplicates(
 
     sizes = classes.select("k1", "k2", "n", "node")
     if roots is not None:
-        known = sized(roots)
-        sizes = sizes.join(known, "node", "left").select("k1", "k2", "n", F.coalesce("root", "node").alias("root"))
+        roots = stored(roots)
+        sizes = sizes.join(sized(roots), "node", "left").select("k1", "k2", "n", "node", F.coalesce("root", "node").alias("root"))
     else:
-        sizes = sizes.withColumnRenamed("node", "root")
-    out = sets.join(sized(stored(sizes)), ["k1", "k2", "n"], "left").select("id", "n", F.coalesce("root", "id").alias("root"))
-    real = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
-    return out.select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("root").alias("component_id"))
+        sizes = sizes.withColumn("root", F.col("node"))
+    found = stored(sets.join(sized(stored(sizes)), ["k1", "k2", "n"], "left").select("doc", "id", "n", "node", "root"))
+    return found, texts, roots
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row; two rows link at ``percent`` hundredths or more."""
+    found, _, _ = _grouped(docs, id_col, text_col, **options)
+    # An id with several texts is one node: the components of its texts are joined.
+    shared = found.where("doc is not null").groupBy("doc").agg(F.min("root").alias("low"), F.max("root").alias("high"), (F.count("root") < F.count("*")).alias("blank"))
+    shared = stored(shared.where("low < high or low is not null and blank").select("doc", "low"))
+    out = found.select("doc", "n", "root")
+    if not shared.isEmpty():
+        out = stored(out.join(sized(shared), "doc", "left"))
+        merged = sized(stored(components(out.where("root > low").select(F.col("root").alias("a"), F.col("low").alias("b"))).withColumnRenamed("root", "top")))
+        out = out.select("doc", "n", F.coalesce("root", "low").alias("node")).join(merged, "node", "left").select("doc", "n", F.coalesce("top", "node").alias("root"))
+    least = stored(out.where("root is not null").groupBy("root").agg(F.min("doc").alias("least"), F.count("*").alias("c")).where("c > 1").select("root", "least"))
+    out = out.join(sized(least), "root", "left")
+    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "doc").alias("component_id"))
+
+
+_LINKS = pa.schema([("node", pa.int64()), ("links", pa.int64())])
+
+
+def _links_in_piece(node, weight, side, texts: pa.Array, two: bool, size: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of a piece and how many rows each links with; between its two sides only, if it is of ``two`` parts."""
+    own = [x for _, x in sets_of(texts, size)]
+    n = np.array([len(x) for x in own])
+    order = np.argsort(n, kind="stable")
+    node, weight, side, n = node[order], weight[order], side[order], n[order]
+    known, held = np.unique(np.concatenate([own[k] for k in order]), return_inverse=True)
+    start = np.concatenate([[0], np.cumsum(n)])
+    # a larger set can't reach the similarity
+    last = np.searchsorted(n, 100 * n // percent, side="right")
+    links, mark = np.zeros(len(n), np.int64), np.zeros(len(known), bool)
+    for k in range(len(n)):
+        a, b = k + 1, last[k]
+        if a >= b:
+            continue
+        mine = held[start[k] : start[k + 1]]
+        mark[mine] = True
+        shared = np.add.reduceat(mark[held[start[a] : start[b]]], start[a:b] - start[a], dtype=np.int64)
+        mark[mine] = False
+        hit = 100 * shared >= percent * (n[k] + n[a:b] - shared)
+        if two:
+            hit &= side[a:b] != side[k]
+        links[k] += weight[a:b][hit].sum()
+        links[a:b][hit] += weight[k]
+    return node, links
+
+
+def _count_links(size: int, percent: int):
+    """Rows (root, p, q, node, weight, side, text), sorted by piece, to (node, links)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def pieces(table: pa.Table):
+            key = np.stack([table.column(k).to_numpy() for k in range(3)])
+            cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
+            columns = [table.column(k).to_numpy() for k in range(3, 6)]
+            for a, b in zip([0, *cuts], [*cuts, table.num_rows]):
+                text = table.column(6).slice(a, b - a).combine_chunks()
+                node, links = _links_in_piece(*(c[a:b] for c in columns), text.chunk(0) if isinstance(text, pa.ChunkedArray) else text, bool(key[1, a] != key[2, a]), size, percent)
+                yield _batch({"node": node, "links": links}, _LINKS)
+
+        for batch in batches:
+            held.append(batch)
+            ends = [np.array([x.column(k)[at].as_py() for k in range(3)]) for x, at in ((held[0], 0), (batch, batch.num_rows - 1))]
+            if (ends[0] == ends[1]).all():
+                continue  # one piece so far
+            table = pa.Table.from_batches(held)
+            key = np.stack([table.column(k).to_numpy() for k in range(3)])
+            whole = int(np.flatnonzero((key != key[:, -1:]).any(0))[-1]) + 1
+            yield from pieces(table.slice(0, whole))
+            held = table.slice(whole).to_batches()
+        if held:
+            yield from pieces(pa.Table.from_batches(held))
+
+    return count
+
+
+def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = PART, **options) -> DataFrame:
+    """(doc_id, n_shingles, class_id, class_size, n_links) of every row.
+
+    A class are the rows with one set, known by their least id (null if none has one); ``n_links`` are all other rows that reach
+    the similarity, those of the class included. Rows count, also those that repeat an id. A row without words is a class of its own.
+    """
+    found, texts, roots = _grouped(docs, id_col, text_col, **options)
+    classes = found.where("node is not null").groupBy("node").agg(F.min("doc").alias("class_id"), F.count("*").alias("class_size"))
+    if roots is None:
+        classes = classes.withColumn("links", F.lit(0).cast("long"))
+    else:
+        classes = stored(classes)
+        members = roots.unionByName(roots.select("root").distinct().select(F.col("root").alias("node"), "root"))
+        dealt = sized(stored(roots.groupBy("root").agg((F.count("*") / part + 1).cast("int").alias("parts"))))
+        members = members.join(dealt, "root").withColumn("side", F.pmod(F.xxhash64("node", F.lit(part)), F.col("parts")).cast("int"))
+        members = stored(members.join(sized(classes), "node").select("root", "node", F.col("class_size").alias("weight"), "side", "parts"))
+        pieces = members.join(texts, members["node"] == texts["id"]).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        pieces = pieces.select("root", F.least("side", "o").alias("p"), F.greatest("side", "o").alias("q"), "node", "weight", "side", "text")
+        pieces = pieces.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q")
+        size, percent = options.get("size", 5), options.get("percent", 80)
+        links = pieces.mapInArrow(_count_links(size, percent), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+        classes = classes.join(sized(stored(links)), "node", "left").withColumn("links", F.coalesce("links", F.lit(0).cast("long")))
+    out = found.select("doc", "n", "node").join(sized(stored(classes)), "node", "left")
+    return out.select(
+        F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), F.coalesce(F.col("class_size") - 1 + F.col("links"), F.lit(0).cast("long")).alias("n_links"),
+    )
 
 
 def _mixed(listed: DataFrame, roots: DataFrame | None) -> DataFrame:

@@ -62,6 +62,25 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query(
+    r"""
+    WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+          ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    e AS (SELECT a, b, x.n = c AND y.n = c AS equal FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c))
+    SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, least(d.doc_id, coalesce(min(b) FILTER (WHERE equal), d.doc_id)) AS class_id,
+           1 + count(b) FILTER (WHERE equal) AS class_size, count(b) AS n_links
+    FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN e ON e.a = d.doc_id GROUP BY d.doc_id
+    """
+)
+def jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op2_jaccard_join's components leave out: each row's class of equal sets and how many rows it links with."""
+    return jaccard_join.near_links(table(spark, sf_dir, "documents"))
+
+
 #: A key for the registered query only; a user brings a secret of their own.
 DEMO_KEY = "demonstration"
 
