@@ -74,6 +74,21 @@ def near_duplicates(rows, percent=80):
     return [(d, len(s), least.get(root(node))) for node, d, s in sets]
 
 
+def without_near_duplicates(rows, percent=80):
+    """One row of each group of texts with words, the least id, null ids last: the ids that stay."""
+    sets = [(d, shingles(t)) for d, t in rows]
+    group = list(range(len(sets)))
+    for k, (_, s) in enumerate(sets):
+        for j, (_, t) in enumerate(sets):
+            if s and 100 * len(s & t) >= percent * len(s | t):
+                old, new = group[j], group[k]
+                group = [new if g == old else g for g in group]
+    out = []
+    for g in set(group):
+        out.append(min(((d is None, d or 0) for (d, _), h in zip(sets, group) if h == g)))
+    return sorted(None if none else d for none, d in out if not none) + [None] * sum(none for none, _ in out)
+
+
 def near_links(rows, percent=80):
     sets = [(d, shingles(t)) for d, t in rows]
     out = []

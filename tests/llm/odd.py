@@ -21,6 +21,11 @@ ROWS = [
     (17, "\x00\x01 null byte"), (None, None), (None, "alone without an id but with some more words"), (18, "short phrase here and one two three there"),
     (19, f"{LONG} more"), (20, "<|endoftext|> text with it"), (21, "a b " * 3000),
 ]
+#: For the near stage: repeated ids with different texts, near copies and copies without an id, repeated rows, and texts without words.
+NEAR_ROWS = [
+    (3, PASSAGE), (7, NEAR), (7, ITEM), (3, PASSAGE.upper()), (None, NEAR), (None, f"{LONG[:900]} end"), (None, f"{LONG[:900]} END and more"), (None, f"{LONG[:900]} end"),
+    (8, "said twice in two rows"), (8, "said twice in two rows"), (9, ""), (9, ""), (None, None), (4, "only this"), (4, "and that, of one id"),
+]
 ITEMS = [(1, ITEM), (2, ITEM + " tail words that follow"), (3, "One two, three"), (None, "phrase here"), (4, None), (5, "..."), (3, "One two, three")]
 CLASHES = ("label score n_words sha256 exact length part kind k1 node words prints id shingle held_out found base pii spans data slot extra0 print").split()
 

@@ -86,6 +86,13 @@ def test_near_duplicates_of_a_large_group(spark):
     odd.same(got, brute.near_duplicates(many))
 
 
+def test_near_stage_decides_per_text(spark):
+    left = rows(jaccard_join.without_near_duplicates(odd.documents(spark, odd.NEAR_ROWS)), "doc_id", "text")
+    assert sorted((d for d, _ in left), key=str) == sorted(brute.without_near_duplicates(odd.NEAR_ROWS), key=str)
+    assert (7, odd.ITEM) in left and (7, odd.NEAR) not in left and left.count((8, "said twice in two rows")) == 1
+    assert sum(t is not None and t.startswith(odd.LONG[:900]) for _, t in left) == 1
+
+
 def check_links(spark, held, **options):
     got = rows(jaccard_join.near_links(spark.createDataFrame(held, "doc_id long, text string"), **options), "doc_id", "n_shingles", "class_id", "class_size", "n_links")
     odd.same(got, brute.near_links(held))

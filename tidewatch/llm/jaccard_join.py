@@ -501,7 +501,23 @@ def _mixed(listed: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one id of each component, the least; rows with a null id go if they reach an id."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    gone = stored(found.where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(sized(gone), docs[f"`{id_col}`"].cast("long") == F.col("_gone"), "left_anti")
+    """``docs`` with exactly one row of each component of texts: that with the least id, null ids last, ties by the text's hash.
+
+    Decided per text, so a repeated id doesn't join its texts: each goes or stays by what it says. Of rows that repeat both id and
+    text one stays. Rows without words all stay.
+    """
+    found, _, _ = _grouped(docs, id_col, text_col, **options)
+    rank = F.struct(F.col("doc").isNull(), "doc", "id")
+    best = found.where("root is not null").groupBy("root").agg(F.count("*").alias("c"), F.min(rank).alias("best"))
+    groups = stored(best.where("c > 1").select("root", F.col("best.doc").alias("keep_doc"), F.col("best.id").alias("keep_id")))
+    first = F.col("doc").eqNullSafe(F.col("keep_doc")) & (F.col("id") == F.col("keep_id"))
+    members = found.join(sized(groups), "root").groupBy("doc", "id").agg(F.bool_or(first).alias("kept"), F.count("*").alias("c"))
+    marked = stored(members.where("not kept or c > 1").select(F.col("doc").alias("_near_doc"), F.col("id").alias("_near_hash"), F.col("kept").alias("_near_kept")))
+    text = F.coalesce(docs[f"`{text_col}`"].cast("string"), F.lit(""))
+    same = docs[f"`{id_col}`"].cast("long").eqNullSafe(F.col("_near_doc")) & (F.pmod(F.xxhash64(text), F.lit(NODES)) == F.col("_near_hash"))
+    if marked.where("_near_kept").isEmpty():
+        return docs.join(sized(marked), same, "left_anti")
+    rows = docs.join(sized(marked), same, "left")
+    # Only rows that repeat both the id and the text that stay are ranked.
+    ranked = rows.where("_near_kept").withColumn("_near_rank", F.row_number().over(Window.partitionBy("_near_doc", "_near_hash").orderBy(F.lit(0))))
+    return rows.where("_near_kept is null").unionByName(ranked.where("_near_rank = 1").drop("_near_rank")).drop("_near_doc", "_near_hash", "_near_kept")
