@@ -124,3 +124,13 @@ def test_synthetic_series(series):
     assert (made["fast"] + made["slow"] + made["trend"]).to_numpy() == pytest.approx(made["x"].to_numpy())
     assert np.std(made["fast"] - 10 * np.sin(2 * np.pi * t / 9)) == pytest.approx(2.0, rel=0.15)
     assert np.std(np.diff(made["trend"] - 5000 - 0.5 * t)) == pytest.approx(3.0, rel=0.15)
+
+
+def test_registered_ensemble_is_whole(spark, folder, monkeypatch):
+    """The query overrides none of the operator's numbers of pairs and components."""
+    from tidewatch.plans import sifted
+
+    given = []
+    monkeypatch.setattr(sifted, "ensemble_decompose", lambda series, **options: given.append((series.count(), options)))
+    sifted.ensemble_decompose_q(spark, folder)
+    assert given == [(sifted.walk(spark, folder).count(), {})]

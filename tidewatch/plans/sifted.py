@@ -248,5 +248,5 @@ def sift_converged_q(spark, folder):
 
 @query("ensemble_decompose")
 def ensemble_decompose_q(spark, folder):
-    """The noise ensemble of every whole series; how many pairs and components is the caller's choice of cost."""
-    return ensemble_decompose(walk(spark, folder), count=4, pairs=1)
+    """The noise ensemble of every whole series, with the operator's own number of pairs and components."""
+    return ensemble_decompose(walk(spark, folder))
