@@ -434,3 +434,13 @@ def test_field_learns_and_generalises(spark):
 
     assert found("abc key: Zx81kLmQ0p29dkAAs1 and more") == ["Zx81kLmQ0p29dkAAs1"]
     assert found("plain words and a number 12345 only") == []
+
+
+def test_secret_sample_counts_different_texts(spark, monkeypatch):
+    """Copies don't fill the sample's places."""
+    held = [(f"token = value {k} and some words",) for k in range(12)] * 30
+    seen = []
+    monkeypatch.setattr(secret_spans, "train", seen.extend)
+    monkeypatch.setattr(secret_spans, "varied", lambda codes, tags, rng: (codes, tags[:0]))
+    secret_spans.fit(spark.createDataFrame(held, "text string"), sample_texts=20)
+    assert len([1 for _, tags in seen if len(tags)]) == 10

@@ -303,9 +303,9 @@ def fit(texts: DataFrame, sample_texts: int = SAMPLE_TEXTS, sample_sequences: in
         named = named | F.contains(F.col("text"), F.lit(name))
 
     def half(rows: DataFrame) -> DataFrame:
-        """Texts with the least hashes; what is sorted are the hashes alone, and only texts below their bound are moved."""
+        """The different texts with the least hashes; what is sorted are the hashes alone, and only texts below their bound are moved."""
         n, hashed = sample_texts // 2, rows.select("text", F.xxhash64("text").alias("h"))
-        bound = hashed.select("h").orderBy("h").limit(n).agg(F.max("h")).first()[0]
+        bound = hashed.select("h").distinct().orderBy("h").limit(n).agg(F.max("h")).first()[0]
         # copies of one text have one hash
         return hashed.where(F.col("h") <= F.lit(bound)).dropDuplicates(["h"]).select("text") if bound is not None else rows.select("text")
 
