@@ -1,10 +1,10 @@
-"""Near duplicates by an exact Jaccard join on word shingles, as a T-occurrence search.
+"""Near duplicates by an exact Jaccard join on word shingles: prefix filter, sketches, full verification.
 
 Two sets of n and m shingles with a Jaccard similarity of at least t share at least T shingles, and
-T is no less than t * n. An inverted list per shingle says which sets have it. Following DivideSkip, the lists
-of a set are divided: the n - T + 1 shortest ones are merged, since one of them must hold every
-partner, and the T - 1 long ones are only probed, by binary search, for the candidates that
-the merge brought up; candidates that reach the required overlap are kept.
+T is no less than t * n. An inverted list per shingle says which sets have it. Only the n - T + 1 shortest lists
+of a set are written, since one of them must hold every partner; the T - 1 long ones are neither written nor probed,
+and occurrences are not counted. Candidates from the lists are compared in full, both texts' sets,
+and those that reach the required overlap are kept.
 
 * Lists are ordered short to long by their frequent shingles (counted over all texts; which of them
   reach the bounded table changes the work, never the result), ties by hash.
@@ -177,7 +177,7 @@ def _postings(size: int, percent: int, common, list_rows: int):
 
 
 def _verify(size: int, percent: int):
-    """Pairs (a, b, ta, tb) whose sets reach the overlap: the long lists' part, by binary search."""
+    """Pairs (a, b, ta, tb) whose whole sets reach the overlap."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
