@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, exact_dedup, jaccard_join, lattice, licenses, packing, pseudonyms, quality_votes, secret_spans, token_counts
+from tidewatch.llm import byte_contexts, collocations, decontaminate, edit_pairs, exact_dedup, jaccard_join, lattice, licenses, packing, pseudonyms, quality_votes, secret_spans, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -170,3 +170,57 @@ def op10_secret_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     counts = [of_kind("spans", k) for k in secret_spans.KINDS]
     return rows.select("doc_id", *counts[:3], F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"), counts[3])
+
+
+@query()
+def op11_byte_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_contexts.languages(table(spark, sf_dir, "documents"))
+
+
+@query(
+    r"""
+    WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM d),
+    i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+    u AS (SELECT lang, w[i] AS w1, count(*) AS f FROM i GROUP BY 1, 2),
+    b AS (SELECT lang, w[i] AS w1, w[i + 1] AS w2, count(*) AS f FROM i WHERE i < len(w) GROUP BY 1, 2, 3),
+    t AS (SELECT lang, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3, count(*) AS f FROM i WHERE i + 1 < len(w) GROUP BY 1, 2, 3, 4 HAVING count(*) >= 10),
+    n AS (SELECT lang, sum(f)::BIGINT AS n FROM u GROUP BY 1),
+    c AS (SELECT lang, w1 || ' ' || w2 AS phrase, b.f AS a, x.f AS l, y.f AS r, 1 AS k FROM b JOIN u x USING (lang, w1) JOIN (SELECT lang, w1 AS w2, f FROM u) y USING (lang, w2)
+          WHERE b.f >= 10 AND NOT EXISTS (SELECT 1 FROM t WHERE t.lang = b.lang AND (t.w1 = b.w1 AND t.w2 = b.w2 OR t.w2 = b.w1 AND t.w3 = b.w2) AND 100 * t.f >= 50 * b.f)
+          UNION ALL SELECT lang, concat_ws(' ', w1, w2, w3), t.f, x.f, y.f, 1 FROM t JOIN u x USING (lang, w1) JOIN (SELECT lang, w1 AS w2, w2 AS w3, f FROM b) y USING (lang, w2, w3)
+          UNION ALL SELECT lang, concat_ws(' ', w1, w2, w3), t.f, x.f, y.f, 2 FROM t JOIN b x USING (lang, w1, w2) JOIN (SELECT lang, w1 AS w3, f FROM u) y USING (lang, w3)),
+    s AS (SELECT *, (1000000::HUGEINT * a * a // (l::HUGEINT * r))::BIGINT AS score FROM c),
+    m AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS cut FROM s)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM m JOIN n USING (lang) WHERE cut = 1 QUALIFY rank <= 2000
+    """
+)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query(
+    r"""
+    WITH RECURSIVE t AS (SELECT list(list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS tab
+                         FROM (SELECT unnest(range(0, 256)) AS i)),
+    g AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS c
+          FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents) GROUP BY 1, 2 HAVING length(w) >= 6),
+    b AS (SELECT w, c, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || w, ''),
+                 lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [195, unicode(x) - 64] END))::BIGINT[] AS bytes FROM g),
+    h AS (SELECT w, c, xor(list_reduce(bytes, lambda v, x: xor(v >> 8, tab[(xor(v, x) & 255) + 1]), 4294967295), 4294967295) AS h FROM b, t),
+    v AS (SELECT CASE WHEN h % 199 = 0 THEN w[:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, sum(c)::BIGINT AS n
+          FROM h GROUP BY 1 HAVING length(word) >= 6 AND sum(c) >= 5),
+    x AS (SELECT word, n, i, w FROM (SELECT word, n, i, word[:i] || word[i + 2:] AS w FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM v))),
+    e AS (SELECT a.word AS a, b.word AS b, b.n AS n FROM x a JOIN x b ON a.w = b.w AND a.i = b.i AND a.word <> b.word AND length(a.word) = length(b.word)
+          UNION SELECT x.word, v.word, v.n FROM x JOIN v ON x.w = v.word UNION SELECT v.word, x.word, x.n FROM x JOIN v ON x.w = v.word),
+    m AS (SELECT a AS word, count(*) AS n_near, first(b ORDER BY n DESC, b) AS best, max(n) AS best_n FROM e GROUP BY a),
+    f AS (SELECT v.word, CASE WHEN best_n >= 5 * n THEN best END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * n THEN best_n END AS form_n
+          FROM v LEFT JOIN m USING (word)),
+    r AS (SELECT word, word AS root FROM f WHERE form IS NULL UNION ALL SELECT f.word, r.root FROM f JOIN r ON f.form = r.word)
+    SELECT word, form, root, n, n_near, form_n FROM f JOIN r USING (word)
+    """
+)
+def op13_edit_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_pairs.spelling_variants(table(spark, sf_dir, "documents"))

@@ -125,3 +125,22 @@ def shingle_hashes(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np
     shingles, texts = np.concatenate(out), np.concatenate(texts)
     order = np.argsort(texts, kind="stable")
     return shingles[order], texts[order]
+
+
+def strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The byte ranges (in order, not overlapping) as an Arrow array of strings."""
+    mark = np.zeros(len(data) + 1, np.int8)
+    mark[starts] += 1
+    mark[ends] -= 1
+    kept = data[np.cumsum(mark[:-1], dtype=np.int8).astype(bool)]
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=offsets[1:])
+    return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
+
+
+def by_value(batch: pa.RecordBatch, column: str) -> Iterator[tuple[object, pa.RecordBatch]]:
+    """The rows of a batch by the value of one column."""
+    codes = batch.column(column).dictionary_encode()
+    at = codes.indices.to_numpy(zero_copy_only=False)
+    for k, value in enumerate(codes.dictionary.to_pylist()):
+        yield value, batch.take(pa.array(np.flatnonzero(at == k))) if len(codes.dictionary) > 1 else batch
