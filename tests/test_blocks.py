@@ -82,6 +82,20 @@ def test_benchmarks(data, span):
             assert r[f"ewma{span}"] == pytest.approx(smooth[j], rel=1e-12)
 
 
+@pytest.mark.parametrize("block_rows", [7, 64, 1024])
+def test_smoothing_forgets_nothing(spark, block_rows):
+    """A first value of 1e15 fades as in the recursion, far beyond any fixed memory, whatever the block."""
+    n, te = 900, 60
+    x = np.array([100.0 + (k * 7919) % 13 for k in range(n)])
+    x[te - 1] = 1e15
+    rows = [("a", k, float(v), n, te) for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "series_id string, idx int, x double, n int, train_end int")
+    got = {r.idx: r.ewma10 for r in benchmark_forecasts(df, block_rows=block_rows).collect()}
+    smooth = brute.ewma(x, te)
+    assert len(got) == n - te
+    assert all(got[te + j] == pytest.approx(v, rel=1e-11) for j, v in enumerate(smooth))
+
+
 def test_centred_components_sum_to_the_series(data):
     df, xs = data
     out = decompose_centred(df, block_rows=BLOCK).collect()

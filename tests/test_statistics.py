@@ -1,6 +1,7 @@
 """Published statistic/p-value pairs and properties of the tests and scores."""
 
 import math
+from decimal import Decimal, localcontext
 
 import numpy as np
 import pytest
@@ -40,6 +41,39 @@ def test_p_values_over_a_grid_of_degrees(spark):
     assert 0 < got[0] < 1e-4 and got[1] == 0.0 and got[2] is None and got[3] is None
 
 
+def _exact_tail(t, df):
+    """The tail for an even number of degrees, in 90 digits."""
+    with localcontext() as exact:
+        exact.prec = 90
+        t, df = Decimal(t), Decimal(df)
+        cos2, term, total = df / (df + t * t), Decimal(1), Decimal(1)
+        for k in range(2, int(df) - 1, 2):
+            term *= cos2 * (k - 1) / k
+            total += term
+        return float(1 - t / (df + t * t).sqrt() * total)
+
+
+def test_tails_keep_their_digits(spark):
+    cases = [(t, df) for t in (0.5, 1.7, 1.75, 2.0, 3.0, 8.0, 12.5, 40.0) for df in (2, 4, 10, 60, 200, 998, 1000, 1002, 20_000)]
+    df = spark.createDataFrame(cases, "t double, df int")
+    for r in df.withColumn("p", two_sided_p(F.col("t"), F.col("df"))).collect():
+        exact = _exact_tail(r.t, r.df)
+        assert r.p == pytest.approx(exact, rel=2e-12, abs=1e-80), (r.t, r.df)
+    one = spark.createDataFrame([(t,) for t in (0.3, 1.8, 8.0, 1e3, 1e9)], "t double").withColumn("p", two_sided_p(F.col("t"), F.lit(1)))
+    assert all(r.p == pytest.approx(2 / math.pi * math.atan(1 / r.t), rel=1e-12) for r in one.collect())
+
+
+def test_tails_have_no_step_between_degrees(spark):
+    cases = [(t, df) for t in (1.72, 1.74, 8.0, 20.0, 37.0) for df in (*range(996, 1006), 10**6 - 1, 10**6)]
+    found = {}
+    for r in spark.createDataFrame(cases, "t double, df int").withColumn("p", two_sided_p(F.col("t"), F.col("df"))).collect():
+        found[r.t, r.df] = r.p
+    for t in (1.72, 1.74, 8.0, 20.0, 37.0):
+        steps = [found[t, df] / found[t, df + 1] for df in range(996, 1005)]
+        assert all(1 < a < 2 for a in steps) and max(steps) - min(steps) < 0.05
+        assert 0 < found[t, 10**6] < found[t, 10**6 - 1] < found[t, 1005]
+
+
 def test_equal_forecasts_have_no_statistic(spark):
     df = spark.range(50).select(F.lit("s").alias("series_id"), F.col("id").cast("double").alias("y"))
     df = df.withColumn("p", F.col("y") + 1)
