@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidewatch.operators.blocks import at_home, lane, spread, with_totals
@@ -27,12 +29,15 @@ from tidewatch.operators.quality import (
     window_alignment,
     with_patch_record,
 )
+from tidewatch.operators.repair import repair_table
 from tidewatch.operators.scoring import score
 from tidewatch.plans.inputs import COMPONENTS, both_windows, delivered_windows, parts, walk
 from tidewatch.plans.leakage import test_forecasts
 from tidewatch.plans.registry import fragment, query, using
 from tidewatch.plans.scored import rounded
 from tidewatch.operators.protocols import walk_forward_windows
+from tidewatch.session import shared_folder
+from tidewatch.sources import sinks
 
 DELIVERED = "walk_forward_delivered"
 
@@ -147,6 +152,57 @@ def patch_odd_rows_q(spark, folder):
     return rounded(patch_report(delivered, patched, rows), 6)
 
 
+def _delivered_table(spark, folder):
+    """The faulty delivery as a versioned table of its own."""
+    root = f"{shared_folder(spark)}/delivered-{uuid.uuid4().hex}"
+    sinks.replace_table(delivered_windows(spark, folder), root)
+    return root
+
+
+def _repaired(spark, folder, recomputed):
+    """The outcome of a repair beside the alignment of what the table then holds."""
+    rows, root = walk(spark, folder), _delivered_table(spark, folder)
+    outcome = repair_table(root, recomputed, rows)
+    held = window_alignment(sinks.read_table(spark, root), rows).select("series_id", "protocol", F.col("lag0").alias("lag0_held"), F.col("lag1").alias("lag1_held"))
+    found = outcome.join(held, ["series_id", "protocol"]).select(
+        "series_id", "protocol", "rows", "lag0_before", "lag1_before", "lag0_after", "lag1_after", "window_recon_max_pct", "n_reproduced",
+        "targets_agree", "outcome", "version", "lag0_held", "lag1_held",
+    )
+    return rounded(found, 6)
+
+
+def _repair_sql(outcome, version, held):
+    return using(
+        "alignment3",
+        "alignment_patched",
+        select=f"""SELECT series_id, 'walk_forward' AS protocol, b.rows, lag0_before, lag1_before, lag0_after, lag1_after,
+    window_recon_max_pct, n_reproduced, targets_agree, {outcome} AS outcome, '{version}' AS version,
+    CASE WHEN {held} THEN lag0_after ELSE lag0_before END AS lag0_held, CASE WHEN {held} THEN lag1_after ELSE lag1_before END AS lag1_held FROM
+    (SELECT series_id, count(*) AS rows, count(*) FILTER (WHERE e0 <= e1) AS lag0_before,
+      count(*) FILTER (WHERE e1 < e0) AS lag1_before FROM alignment3 WHERE protocol = '{DELIVERED}' GROUP BY 1) b
+    JOIN (SELECT series_id, count(*) FILTER (WHERE e0 <= e1) AS lag0_after, count(*) FILTER (WHERE e1 < e0) AS lag1_after,
+      round(max(e0 / abs(x)) * 100, 6) + CAST(0 AS DOUBLE) AS window_recon_max_pct FROM alignment_patched GROUP BY 1) a USING (series_id)
+    JOIN (SELECT series_id, max(abs(s - x)) <= greatest(1, max(abs(x))) * 1e-6 AS targets_agree FROM
+      (SELECT series_id, idx, sum(y) AS s, any_value(x) AS x FROM patched GROUP BY 1, 2) GROUP BY 1) t USING (series_id)
+    JOIN (SELECT series_id, count(*) FILTER (WHERE idx % 2 = 0) AS n_reproduced FROM walk_delivered GROUP BY 1) r USING (series_id)""",
+    )
+
+
+@query("patch_table", sql=_repair_sql("'patched'", "v000002", "true"))
+def patch_table(spark, folder):
+    """The delivery repaired, gated and committed; then what readers of the table see."""
+    return _repaired(spark, folder, walk_forward_windows(walk(spark, folder)))
+
+
+@query("patch_refused", sql=_repair_sql("CASE WHEN series_id LIKE '%High' THEN 'refused: reproduction' ELSE 'patched' END", "v000003", "series_id LIKE '%Low'"))
+def patch_refused(spark, folder):
+    """As ``patch_table``, with a recomputation that does not reproduce the last value of High series' even rows: those keep their rows."""
+    fresh = walk_forward_windows(walk(spark, folder))
+    off = F.col("series_id").endswith("_High") & (F.col("idx") % 2 == 0)
+    shifted = F.transform("w", lambda v, k: F.when(k == 29, v + F.col("x") * 1e-4).otherwise(v))
+    return _repaired(spark, folder, fresh.withColumn("w", F.when(off, shifted).otherwise(F.col("w"))))
+
+
 @query(
     "reproduction_diff",
     sql=using(
@@ -320,7 +376,7 @@ def recover_index_q(spark, folder):
 def part_settings(spark, folder):
     """Settings of every component model, with one odd setting and one missing part."""
     s, p, c = F.col("series_id"), F.col("protocol"), F.col("comp")
-    rows = both_windows(spark, folder).select("series_id", "protocol", "comp").distinct()
+    rows = expected_datasets(walk(spark, folder)).select("series_id", "protocol", F.explode(F.sequence(F.lit(0), F.lit(COMPONENTS - 1))).alias("comp"))
     rows = rows.withColumn("model", F.explode(F.array(*[F.lit(m) for m in MODELS])))
     rows = rows.where(~((s == "R_Low") & (p == "full_series") & (c == 5)))
     odd = (s == "A_High") & (p == "walk_forward") & (c == 2)
@@ -351,20 +407,20 @@ def mixed_settings(spark, folder):
 @query(
     "pending_units",
     sql=using(
+        "mixed_alignment",
         "series",
         select=f"""SELECT series_id, protocol, model, CAST(comp AS INTEGER) AS comp FROM
-    (SELECT DISTINCT series_id FROM series), (VALUES ('full_series'), ('walk_forward')) p(protocol),
+    (SELECT series_id, protocol FROM mixed_alignment WHERE lag1 = 0 UNION ALL SELECT DISTINCT series_id, 'full_series' FROM series),
     (VALUES ('lag1'), ('lag2')) m(model), range({COMPONENTS}) r(comp)
-    WHERE NOT (model = 'lag1' AND (protocol = 'full_series' OR comp < 3))""",
+    WHERE NOT (model = 'lag1' AND (protocol = 'full_series' OR comp < 3) AND NOT (series_id = 'R_Low' AND protocol = 'full_series' AND comp = 5))""",
     ),
 )
 def pending_units_q(spark, folder):
+    """Units of datasets that may be trained on, less finished ones; a part that was lost is open again."""
     done = (F.col("model") == "lag1") & ((F.col("protocol") == "full_series") | (F.col("comp") < 3))
     finished = part_settings(spark, folder).where(done).select("series_id", "protocol", "model", "comp")
-    lost = (F.col("series_id") == "R_Low") & (F.col("protocol") == "full_series") & (F.col("comp") == 5)
-    datasets = expected_datasets(walk(spark, folder)).withColumn("n_components", F.lit(COMPONENTS))
-    units = pending_units(datasets, list(MODELS), finished)
-    return units.where(~(lost & (F.col("model") == "lag1")))
+    datasets = ready(spark, folder).withColumn("n_components", F.lit(COMPONENTS))
+    return pending_units(datasets, list(MODELS), finished)
 
 
 @query(

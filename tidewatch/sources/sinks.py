@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import uuid
+from collections.abc import Mapping, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,43 +93,89 @@ def write_result(rows: DataFrame, path: str, kind: str = "json") -> None:
 
 
 def replace_table(rows: DataFrame, root: str) -> str:
-    """Write a new version next to the old ones, then point readers at it.
+    """Write a new version next to the old ones, then commit it.  Returns the new version's path.
 
-    The pointer file is replaced by a rename, so readers see the old version or the
-    new one; earlier versions stay as backups.  Returns the new version's path.
+    Readers see the old version or the new one; earlier versions stay as backups.
     """
-    spark = rows.sparkSession
-    latest = _current(spark, root)
-    version = f"v{int(latest[1:]) + 1 if latest else 1:06d}"
+    version = claim_version(rows.sparkSession, root)
     rows.write.mode("error").parquet(f"{root}/{version}")
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    home = hadoop.Path(root)
-    files = home.getFileSystem(spark._jsc.hadoopConfiguration())
-    draft, pointer = hadoop.Path(root, "_NEXT"), hadoop.Path(root, "CURRENT")
-    out = files.create(draft, True)
-    out.writeBytes(version)
-    out.close()
-    context = hadoop.FileContext.getFileContext(home.toUri(), spark._jsc.hadoopConfiguration())
-    options = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
-    options[0] = hadoop.Options.Rename.OVERWRITE
-    context.rename(files.makeQualified(draft), files.makeQualified(pointer), options)
+    commit_version(rows.sparkSession, root, version)
     return f"{root}/{version}"
 
 
 def read_table(spark: SparkSession, root: str, version: str | None = None) -> DataFrame:
     """The current version of a table written by ``replace_table``, or a named earlier one."""
-    chosen = version or _current(spark, root)
+    chosen = version or current_version(spark, root)
     if chosen is None:
         raise FileNotFoundError(f"no version under {root}")
     return spark.read.parquet(f"{root}/{chosen}")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def claim_version(spark: SparkSession, root: str) -> str:
+    """Reserve the next version number of a table for one writer.
+
+    A number belongs to whoever creates its claim file, which must not exist before; two writers can't both
+    create it.  The token in it tells apart writers on stores that notice an existing file late.
+    """
+    token = uuid.uuid4().hex
+    taken = [int(name[1:7]) for name in _listed(spark, f"{root}/_claims")]
+    number = max(taken, default=0) + 1
+    while not (_created(spark, f"{root}/_claims/v{number:06d}", token) and _content(spark, f"{root}/_claims/v{number:06d}") == token):
+        number += 1
+    return f"v{number:06d}"
+
+
+def commit_version(spark: SparkSession, root: str, version: str, record: Mapping[str, object] | None = None, base: str | None = None) -> bool:
+    """Make a written version visible, with a record of how it came about.
+
+    With ``base``, only if no other version was committed since; else nothing is published and the result is False.
+    """
+    if base is not None and current_version(spark, root) != base:
+        return False
+    entry = {"version": version, "base": base, **(record or {})}
+    return _created(spark, f"{root}/_log/{version}.json", json.dumps(entry, sort_keys=True))
+
+
+def current_version(spark: SparkSession, root: str) -> str | None:
+    """The newest committed version."""
+    return max((name[:7] for name in _listed(spark, f"{root}/_log")), default=None)
+
+
+def version_record(spark: SparkSession, root: str, version: str) -> dict:
+    """What was recorded when a version was committed."""
+    return json.loads(_content(spark, f"{root}/_log/{version}.json"))
+
+
+def _files(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def _listed(spark: SparkSession, path: str) -> list[str]:
+    files, target = _files(spark, path)
+    names = [f.getPath().getName() for f in files.listStatus(target)] if files.exists(target) else []
+    return [name for name in names if name.startswith("v")]
+
+
+def _created(spark: SparkSession, path: str, content: str) -> bool:
+    """Write a small file unless there is one."""
+    files, target = _files(spark, path)
+    try:
+        out = files.create(target, False)
+    except Py4JJavaError:
+        if files.exists(target):
+            return False
+        raise
+    out.write(bytearray(content.encode()))
+    out.close()
+    return True
+
+
+def _content(spark: SparkSession, path: str) -> str:
+    """A small file's first line."""
+    return spark.read.text(path).first()[0]
 
 
-def _current(spark: SparkSession, root: str) -> str | None:
-    if not _exists(spark, f"{root}/CURRENT"):
-        return None
-    return spark.read.text(f"{root}/CURRENT").first()[0]
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
