@@ -231,3 +231,26 @@ def test_recover_index_with_repeated_values(spark):
     lost = spark.createDataFrame(run, "series_id string, protocol string, row int, y double")
     got = recover_index(lost, series, ["series_id", "protocol"], block_rows=9).collect()
     assert [(r.protocol, r.n, r.first_index, r.last_index) for r in got] == [("p", 13, 35, 47)]
+
+
+def test_recover_index_of_a_thousand_runs(spark):
+    """Runs of many lengths in one series, overlapping, some repeated in it, some altered in one value."""
+    rng = np.random.default_rng(5)
+    n = 3000
+    x = rng.integers(0, 10**6, n).astype(float)
+    x[2000:2100] = x[100:200]  # a stretch that occurs twice
+    x[2500:2560] = 7.0
+    series = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "series_id string, idx int, x double")
+    rows, want = [], []
+    for k in range(1000):
+        m = int(rng.integers(1, 90))
+        s = int(rng.integers(0, n - m))
+        y = x[s : s + m].copy()
+        if k % 10 == 0:
+            y[m // 2] += 0.5
+        rows += [("a", f"r{k}", j, float(v)) for j, v in enumerate(y)]
+        places = np.lib.stride_tricks.sliding_window_view(x, m)
+        want += [(f"r{k}", m, int(p), int(p) + m - 1) for p in np.flatnonzero((places == y).all(1))]
+    targets = spark.createDataFrame(rows, "series_id string, run string, row int, y double")
+    got = recover_index(targets, series, ["series_id", "run"], block_rows=64)
+    assert sorted(map(tuple, got.drop("series_id").collect())) == sorted(want)

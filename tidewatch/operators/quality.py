@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from types import MappingProxyType
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators.blocks import BLOCK_ROWS, at_home, index_rows, join_totals, lane, running, spread, with_totals
+from tidewatch.session import cut_lineage
 from tidewatch.sources.bars import WINDOW
 
 
@@ -293,57 +294,75 @@ def drop_counts(expected: DataFrame, kept: DataFrame) -> DataFrame:
     )
 
 
+_WIDE = "decimal(38,0)"
+
+
+def _value_hash(value: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(value).cast("double")), F.lit(2**31)).cast("decimal(20,0)")
+
+
+def _weighted(hashed: Column, place: Column) -> Column:
+    return (hashed.cast("decimal(27,0)") * place.cast("decimal(10,0)")).cast(_WIDE)
+
+
+def run_prints(targets: DataFrame, keys: Sequence[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row per run: its length, its length class (the largest power of two within it), and fingerprints of its first
+    ``class_rows`` values (f, fi) and of all (g, gi): the sum of value hashes, and the sum weighted by place."""
+    lengths = targets.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    class_rows = F.call_function("shiftleft", F.lit(1), F.floor(F.log2("n")).cast("int"))
+    lengths = lengths.withColumns({"class_rows": class_rows, "_last_row": F.col("n") - 1})
+    placed = join_totals(targets.withColumn("idx", F.col("row")), lengths, "_last_row", keys, block_rows)
+    y, early = _value_hash("y"), F.col("row") < F.col("class_rows")
+    total = lambda c: F.sum(c).cast(_WIDE)
+    return placed.groupBy(*keys, "n", "class_rows").agg(
+        total(F.when(early, y)).alias("f"), total(F.when(early, _weighted(y, F.col("row")))).alias("fi"),
+        total(y).alias("g"), total(_weighted(y, F.col("row"))).alias("gi"),
+    )
+
+
 def recover_index(targets: DataFrame, series: DataFrame, keys: Sequence[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Find where a run of target values lies in its series.
 
-    ``targets`` holds ``(keys, row, y)`` with rows 0..m-1.  Matching single values
-    would pair every repeated value with every other, so runs are compared by two
-    fingerprints: the sum of value hashes and their position-weighted sum, both from
-    running sums, exact in decimal arithmetic.  A start is accepted only if every
-    value of the run then agrees.
+    ``targets`` holds ``(keys, row, y)`` with rows 0..m-1.  Every place of a series gets a fingerprint of the
+    values from there on, for each length class that its runs have (powers of two, so few): the difference of two
+    running sums, shifted so that it does not depend on the place.  Runs meet places by equality of
+    series, class and fingerprint; no run is held against places it doesn't resemble.  A place is accepted
+    only if every value of the run then agrees.
     """
-    wide = "decimal(38,0)"
-    hashed = F.pmod(F.xxhash64(F.col("x").cast("double")), F.lit(2**31)).cast("decimal(20,0)")
+    hashed = _value_hash("x")
     prints = running(
-        series.select("series_id", "idx", "x", hashed.cast(wide).alias("_h")).withColumn(
-            "_ih", (F.col("_h").cast("decimal(27,0)") * F.col("idx").cast("decimal(10,0)")).cast(wide)
-        ),
+        series.select("series_id", "idx", "x", hashed.cast(_WIDE).alias("_h"), _weighted(hashed, F.col("idx")).alias("_ih")),
         {"_s": ("sum", "_h"), "_si": ("sum", "_ih")},
         block_rows=block_rows,
-    ).select("series_id", "idx", "x", F.col("_s").cast(wide).alias("_s"), F.col("_si").cast(wide).alias("_si"))
-
-    y_hash = F.pmod(F.xxhash64(F.col("y").cast("double")), F.lit(2**31)).cast("decimal(20,0)").cast("decimal(27,0)")
-    runs = targets.groupBy(*keys).agg(
-        F.count(F.lit(1)).cast("int").alias("n"),
-        F.sum(y_hash).cast(wide).alias("_f"),
-        F.sum(y_hash * F.col("row").cast("decimal(10,0)")).cast(wide).alias("_fi"),
     )
-    ends = prints.select("series_id", F.col("idx").alias("_end"), F.col("_s").alias("_s1"), F.col("_si").alias("_si1"))
-    starts = prints.select(
-        "series_id",
-        (F.col("idx") + 1).alias("idx"),
-        F.col("_s").alias("_s0"),
-        F.col("_si").alias("_si0"),
-    )
-    origin = series.where(F.col("idx") == 0).select(
-        "series_id", "idx", F.lit(0).cast(wide).alias("_s0"), F.lit(0).cast(wide).alias("_si0")
-    )
-    lengths = series.groupBy("series_id").agg(F.max("idx").alias("_last_idx"))
-    candidates = (
-        join_totals(starts.unionByName(origin), runs.join(lengths, "series_id"), "_last_idx", block_rows=block_rows)
-        .withColumnRenamed("idx", "_first")
-        .withColumn("_end", F.col("_first") + F.col("n") - 1)
-        .join(ends, ["series_id", "_end"])
-        .where(F.col("_s1") - F.col("_s0") == F.col("_f"))
-        .where(
-            F.col("_si1") - F.col("_si0") - F.col("_first").cast("decimal(10,0)") * F.col("_f").cast("decimal(27,0)")
-            == F.col("_fi")
-        )
-    )
-    found = candidates.select(*keys, "n", "_first", (F.col("n") - 1).alias("_last_row"))
+    # Written once: read as starts, as ends of the class and as ends of the run.
+    prints = cut_lineage(prints.select("series_id", "idx", "x", F.col("_s").cast(_WIDE).alias("_s"), F.col("_si").cast(_WIDE).alias("_si"), "_h", "_ih"))
+    runs = cut_lineage(run_prints(targets, keys, block_rows))
+
+    lengths = prints.groupBy("series_id").agg(F.max("idx").alias("_last_idx"))
+    classes = runs.groupBy("series_id").agg(F.collect_set("class_rows").alias("_classes")).join(lengths, "series_id")
+    before = {"_s0": F.col("_s") - F.col("_h"), "_si0": F.col("_si") - F.col("_ih")}  # sums without the row itself
+    starts = join_totals(prints.withColumns(before), classes, "_last_idx", block_rows=block_rows)
+    starts = starts.select("series_id", F.col("idx").alias("_first"), "_s0", "_si0", F.explode("_classes").alias("class_rows"))
+    starts = starts.withColumn("_end", F.col("_first") + F.col("class_rows") - 1)
+
+    def ends(s: str, si: str) -> DataFrame:
+        return prints.select("series_id", F.col("idx").alias("_end"), F.col("_s").alias(s), F.col("_si").alias(si))
+
+    def fingerprint(s: str, si: str) -> tuple[Column, Column]:
+        total = (F.col(s) - F.col("_s0")).cast(_WIDE)
+        return total, (F.col(si) - F.col("_si0") - _weighted(total, F.col("_first"))).cast(_WIDE)
+
+    f, fi = fingerprint("_s1", "_si1")
+    places = starts.join(ends("_s1", "_si1"), ["series_id", "_end"]).withColumns({"f": f, "fi": fi}).drop("_end", "_s1", "_si1")
+    alike = runs.join(places, ["series_id", "class_rows", "f", "fi"]).withColumn("_end", F.col("_first") + F.col("n") - 1)
+    g, gi = fingerprint("_s2", "_si2")
+    alike = alike.join(ends("_s2", "_si2"), ["series_id", "_end"]).where((g == F.col("g")) & (gi == F.col("gi")))
+
+    found = alike.select(*keys, "n", "_first", (F.col("n") - 1).alias("_last_row"))
     placed = join_totals(targets.withColumn("idx", F.col("row")), found, "_last_row", keys, block_rows)
     placed = placed.withColumn("idx", F.col("_first") + F.col("row")).drop("block")
-    verified = placed.join(series.select("series_id", "idx", "x"), ["series_id", "idx"])
+    verified = placed.join(prints.select("series_id", "idx", "x"), ["series_id", "idx"])
     return (
         verified.groupBy(*keys, "n", "_first")
         .agg(F.count_if(F.col("x") == F.col("y")).alias("matches"))
