@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators.blocks import BLOCK_ROWS, with_totals
+from tidewatch.operators.blocks import BLOCK_ROWS, join_totals, with_totals
 from tidewatch.operators.sift import sift_converged
+from tidewatch.session import cut_lineage
 
 
 def standard_normal(*parts: Column | str, seed: int = 0) -> Column:
@@ -53,6 +54,29 @@ def antithetic_realisations(
     return copies.select(*[c for c in series.columns], F.inline(signed))
 
 
+def probe_realisations(series: DataFrame, probes: int = 5, noise_std: float = 0.2, seed: int = 1, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``probes`` independent noisy copies per row, as ``(realisation, v)``."""
+    rows = with_totals(series, [F.stddev_pop("x").alias("_spread")], block_rows=block_rows).drop("block")
+    copies = rows.withColumn("realisation", F.explode(F.sequence(F.lit(0), F.lit(max(1, probes) - 1))))
+    noise = F.greatest(F.col("_spread") * noise_std, F.lit(1e-12)) * standard_normal("series_id", "idx", "realisation", seed=seed)
+    return copies.withColumn("v", F.col("x") + noise).drop("_spread")
+
+
+def common_depth(components: DataFrame, least: int = 3) -> DataFrame:
+    """``(series_id, depth)``: the most components that any probe of a series has, the residual included, at least ``least``.
+
+    ``components`` holds ``(series_id, realisation, idx, comp, is_residual, c)``; partial sums per task are one row per probe.
+    """
+    per_probe = components.groupBy("series_id", "realisation").agg((F.max("comp") + 1).alias("_depth"))
+    return per_probe.groupBy("series_id").agg(F.greatest(F.max("_depth"), F.lit(least)).alias("depth"))
+
+
+def probed_depth(series: DataFrame, probes: int = 5, noise_std: float = 0.2, levels: int = 10, least: int = 3, seed: int = 1, block_rows: int = BLOCK_ROWS, **sifting) -> DataFrame:
+    """``common_depth`` of probes that are sifted until they converge, with at most ``levels`` details."""
+    noisy = probe_realisations(series, probes, noise_std, seed, block_rows)
+    return common_depth(sift_converged(noisy, ["series_id", "realisation"], "v", levels=levels, block_rows=block_rows, **sifting), least)
+
+
 def fit_components(components: DataFrame, count: int, keys: Sequence[str]) -> DataFrame:
     """Bring every decomposition to ``count`` components without changing any row sum.
 
@@ -74,18 +98,23 @@ def fit_components(components: DataFrame, count: int, keys: Sequence[str]) -> Da
 
 
 def ensemble_mean(
-    realisations: DataFrame, signal: DataFrame, count: int, n_realisations: int
+    realisations: DataFrame, signal: DataFrame, count: int, n_realisations: int, depths: DataFrame | None = None, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Mean component per row over all realisations; the residual absorbs what is left of the signal.
 
     Each realisation is reconciled to ``count`` levels on the way: a level it lacks
     counts as zero, so dividing the sum by the number of realisations is the mean of
-    the zero-padded copies.
+    the zero-padded copies.  With ``depths`` (series_id, depth) a series has only that many components: details
+    beyond them stay in its residual, which is last, behind zeros.
     """
     details = [F.when(~F.col("is_residual") & (F.col("comp") == j), F.col("c")) for j in range(count - 1)]
     sums = realisations.groupBy("series_id", "idx").agg(
         *[(F.coalesce(F.sum(d), F.lit(0.0)) / n_realisations).alias(f"c{j}") for j, d in enumerate(details)]
     )
+    if depths is not None:
+        ends = signal.groupBy("series_id").agg(F.max("idx").alias("_last")).join(depths, "series_id")
+        sums = join_totals(sums, ends, "_last", block_rows=block_rows).drop("block")
+        sums = sums.withColumns({f"c{j}": F.when(F.col("depth") > j + 1, F.col(f"c{j}")).otherwise(F.lit(0.0)) for j in range(count - 1)}).drop("depth")
     joined = sums.join(signal.select("series_id", "idx", "x"), ["series_id", "idx"])
     residual = F.col("x")
     for j in range(count - 1):
@@ -110,13 +139,18 @@ def uncorrected_mean_error(realisations: DataFrame, signal: DataFrame) -> DataFr
 
 
 def ensemble_decompose(
-    series: DataFrame, count: int = 10, pairs: int = 25, noise_std: float = 0.2, seed: int = 0, block_rows: int = BLOCK_ROWS, **sifting
+    series: DataFrame, count: int | None = 10, pairs: int = 25, noise_std: float = 0.2, seed: int = 0, block_rows: int = BLOCK_ROWS, **sifting
 ) -> DataFrame:
     """Noise-assisted sifting: ``(series_id, idx, x, c0 .. c<count - 1>)``, the residual last.
 
     ``2 * pairs`` noisy copies of every series are sifted until they converge, each on its own, brought
     to ``count`` components and averaged; the residual is what the mean components leave of the series, so no row is lost.
+    With no ``count`` every series has the depth that its probes show.
     """
+    depths = None
+    if count is None:
+        depths = cut_lineage(probed_depth(series, noise_std=noise_std, seed=seed + 1, block_rows=block_rows, **sifting))
+        count = depths.agg(F.max("depth")).first()[0] or 1
     noisy = antithetic_realisations(series, pairs, noise_std, seed=seed, block_rows=block_rows)
     sifted = sift_converged(noisy, ["series_id", "realisation"], "v", levels=max(count - 1, 1), block_rows=block_rows, **sifting)
-    return ensemble_mean(sifted, series, count, 2 * max(1, pairs))
+    return ensemble_mean(sifted, series, count, 2 * max(1, pairs), depths, block_rows)

@@ -85,6 +85,7 @@ def walk_forward_windows(
     window: int = WINDOW,
     trim_end_to_even: bool = False,
     block_rows: int = BLOCK_ROWS,
+    stride: int = 1,
 ) -> DataFrame:
     """Windows in which nothing at or after the forecast row is used.
 
@@ -95,6 +96,9 @@ def walk_forward_windows(
     ``trim_end_to_even`` reproduces a known fault: cutting odd-length histories at
     their newest end, so that windows of odd rows end one row early and targets of
     even rows repeat the row before.
+
+    With ``stride`` the history is decomposed at every stride-th test row only; the rows up to the next one use
+    the window of that refit. Their targets stay their own.
     """
     count = len(half_widths) + 1
     marked = series.withColumn("test_start", F.col("train_end"))
@@ -161,6 +165,12 @@ def walk_forward_windows(
             f"y{last}": F.col(f"_t{last}"),
         }
     )
+    if stride > 1:
+        late = (t - F.col("test_start")) % stride
+        windows = [f"w{j}" for j in range(count)]
+        # Only these rows' windows are built; each serves fewer than ``stride`` others.
+        refits = rows.where(late == 0).select("series_id", t.alias("_refit"), *windows)
+        rows = rows.drop(*windows).withColumn("_refit", t - late).join(refits, ["series_id", "_refit"]).drop("_refit")
     return _one_row_per_component(train, count, WALK, F.lit("train")).unionByName(
         _one_row_per_component(rows, count, WALK, F.lit("test"))
     )

@@ -102,6 +102,28 @@ def sift_decompose(
     return rows.withColumnRenamed("rest", f"c{levels}")
 
 
+def levels_worth_sifting(decomposed: DataFrame, levels: int, keys: Sequence[str] = SERIES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``(keys, n_levels, tops, lows)``: how many of a decomposition's leading levels were taken from a rest with four maxima and minima or more.
+
+    ``decomposed`` has ``c0..c<levels>``; the rest before level j is the sum of the components from j on. ``tops`` and ``lows`` count
+    the extrema of all those rests and of the last one.
+    """
+    rests = {f"_r{j}": sum((F.col(f"c{k}") for k in range(j + 1, levels + 1)), F.col(f"c{j}")) for j in range(levels + 1)}
+    rows = spread(decomposed.select(*keys, "idx", *[c.alias(n) for n, c in rests.items()]), before=1, after=1, block_rows=block_rows)
+    beside = lane(keys)
+    marks = {}
+    for name in rests:
+        v, back, ahead = F.col(name), F.lag(name).over(beside), F.lead(name).over(beside)
+        marks |= {f"{name}_top": (v > back) & (v > ahead), f"{name}_low": (v < back) & (v < ahead)}
+    counted = at_home(rows.withColumns(marks), block_rows).groupBy(*keys).agg(*[F.count_if(m).alias(m) for m in marks])
+    enough = [F.least(f"{n}_top", f"{n}_low") >= _FEWEST_EXTREMA for n in list(rests)[:levels]]
+    reached = F.lit(0)
+    for ok in reversed(enough):
+        reached = F.when(ok, reached + 1).otherwise(F.lit(0))
+    total = lambda side: sum((F.col(f"{n}_{side}") for n in list(rests)[1:]), F.col(f"_r0_{side}"))
+    return counted.select(*keys, reached.cast("int").alias("n_levels"), total("top").alias("tops"), total("low").alias("lows"))
+
+
 def sift_converged(
     series: DataFrame,
     keys: Sequence[str] = SERIES,

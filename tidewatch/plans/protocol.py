@@ -46,6 +46,26 @@ def protocol_walk_forward(spark, folder):
     return _shaped(walk_forward_windows(walk(spark, folder)))
 
 
+STRIDES = (1, 5, 20)
+
+
+@query(
+    "protocol_walk_forward_stride",
+    sql=using(
+        "walk_test",
+        select=f"""SELECT t.series_id, CAST(t.comp AS INTEGER) AS comp, t.idx, CAST(s.stride AS INTEGER) AS stride, round(t.y, 4) AS y, t.x, {window_shape_sql("r.w")}
+    FROM walk_test t, (VALUES {", ".join(f"({k})" for k in STRIDES)}) s(stride)
+    JOIN walk_test r ON r.series_id = t.series_id AND r.comp = t.comp AND r.idx = t.test_start + s.stride * ((t.idx - t.test_start) // s.stride)""",
+    ),
+)
+def protocol_walk_forward_stride(spark, folder):
+    """Test windows with a refit at every row, every fifth and every twentieth."""
+    rows = walk(spark, folder)
+    made = [walk_forward_windows(rows, stride=k).where(F.col("split") == "test").withColumn("stride", F.lit(k)) for k in STRIDES]
+    every = made[0].unionByName(made[1]).unionByName(made[2])
+    return every.select("series_id", "comp", "idx", "stride", F.round("y", 4).alias("y"), "x", *window_shape())
+
+
 @query(
     "recon_error",
     sql=using(

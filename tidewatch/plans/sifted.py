@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewatch.operators.blocks import with_totals
 from tidewatch.operators.centred import HALF_WIDTHS, decompose_centred
 from tidewatch.operators.ensemble import (
     antithetic_realisations,
+    common_depth,
     ensemble_decompose,
     ensemble_mean,
     fit_components,
     uncorrected_mean_error,
 )
-from tidewatch.operators.sift import linear_envelopes, mark_extrema, sift_converged, sift_decompose, sift_pass
+from tidewatch.operators.sift import levels_worth_sifting, linear_envelopes, mark_extrema, sift_converged, sift_decompose, sift_pass
 from tidewatch.plans.inputs import COMPONENTS, walk
 from tidewatch.plans.registry import fragment, query, using
 from tidewatch.plans.scored import rounded
@@ -240,6 +242,58 @@ def ensemble_mean_uncorrected(spark, folder):
     return rounded(found, 2, recon_pct_of_range=6)
 
 
+PROBES, PROBE_LEVELS = 5, 4
+
+
+def probes(spark, folder):
+    """Five copies of each series with noise that depends on position and copy alone, each a series of its own."""
+    rows = walk(spark, folder).select("series_id", "idx", "x")
+    copies = with_totals(rows, [F.stddev_pop("x").alias("spread")]).drop("block").withColumn("realisation", F.explode(F.sequence(F.lit(0), F.lit(PROBES - 1))))
+    noise = (F.col("idx").cast("long") * F.col("idx") * 7919 + F.col("realisation") * 104729 + F.col("idx") * 31) % 1009 / 1009.0 - 0.5
+    return copies.select(F.concat_ws("#", "series_id", "realisation").alias("series_id"), "idx", (F.col("x") + noise * F.col("spread") * 0.2).alias("x"))
+
+
+fragment(
+    "probes",
+    "walk",
+    sql=f"""SELECT series_id || '#' || r AS series_id, idx,
+    x + ((CAST(idx AS BIGINT) * idx * 7919 + r * 104729 + idx * 31) % 1009 / CAST(1009 AS DOUBLE) - 0.5) * spread * 0.2 AS x FROM (
+    SELECT *, stddev_pop(x) OVER (PARTITION BY series_id) AS spread FROM walk), range({PROBES}) p(r)""",
+)
+_source = "probes"
+for _level in range(PROBE_LEVELS):
+    fragment(f"q{_level}", _source, sql=f"SELECT *, rest AS h FROM {_source}" if _level else "SELECT series_id, idx, x, x AS rest, x AS h FROM probes")
+    _declare_pass(f"qp{_level}", f"q{_level}", "h")
+    _source = f"probed{_level}"
+    fragment(
+        _source,
+        f"qp{_level}_env",
+        sql=f"""SELECT * EXCLUDE (h, upper, lower) REPLACE (rest - (h - (upper + lower) / 2) AS rest), rest AS r{_level} FROM qp{_level}_env""",
+    )
+
+
+@query(
+    "common_depth",
+    sql=using(
+        _source,
+        select=f"""SELECT split_part(series_id, '#', 1) AS series_id, CAST(greatest(max(n_levels + 1), 3) AS INTEGER) AS depth,
+    CAST(sum(tops) AS BIGINT) AS tops, CAST(sum(lows) AS BIGINT) AS lows FROM (SELECT series_id,
+    {" + ".join("CAST(" + " AND ".join(f"t{k} >= 4 AND b{k} >= 4" for k in range(j + 1)) + " AS INTEGER)" for j in range(PROBE_LEVELS))} AS n_levels,
+    {" + ".join(f"t{j}" for j in range(PROBE_LEVELS + 1))} AS tops, {" + ".join(f"b{j}" for j in range(PROBE_LEVELS + 1))} AS lows FROM (SELECT series_id,
+    {", ".join(f"count(*) FILTER (WHERE r{j} > p{j} AND r{j} > a{j}) AS t{j}, count(*) FILTER (WHERE r{j} < p{j} AND r{j} < a{j}) AS b{j}" for j in range(PROBE_LEVELS + 1))}
+    FROM (SELECT *, {", ".join(f"lag(r{j}) OVER o AS p{j}, lead(r{j}) OVER o AS a{j}" for j in range(PROBE_LEVELS + 1))}
+      FROM (SELECT *, rest AS r{PROBE_LEVELS} FROM {_source}) WINDOW o AS (PARTITION BY series_id ORDER BY idx)) GROUP BY 1)) GROUP BY 1""",
+    ),
+)
+def common_depth_q(spark, folder):
+    """The depth that five noisy probes of each series show, one pass per level, beside the extrema it rests on."""
+    reached = levels_worth_sifting(sift_decompose(probes(spark, folder), PROBE_LEVELS, 1), PROBE_LEVELS)
+    parts = F.split("series_id", "#")
+    reached = reached.select(parts[0].alias("series_id"), parts[1].alias("realisation"), F.col("n_levels").alias("comp"), "tops", "lows")
+    extrema = reached.groupBy("series_id").agg(F.sum("tops").alias("tops"), F.sum("lows").alias("lows"))
+    return common_depth(reached).join(extrema, "series_id")
+
+
 @query("sift_converged")
 def sift_converged_q(spark, folder):
     """Sifting of every whole series until it converges; compared with a plain version in the tests."""
