@@ -35,6 +35,8 @@ def test_overlap_and_listing_against_sets(spark, folder):
             if k:
                 expected[(i, g)] = k
     assert listing == expected
+    salted = shared_ngrams(texts, "doc_id", "text", items, "item_id", "text", most_known=0).collect()
+    assert {(r.item_id, r.gram): r.n_texts for r in salted} == expected
 
 
 def test_key_integrity(spark):

@@ -81,21 +81,25 @@ def shared_ngrams(
     source_text: str,
     n: int = 7,
     salts: int = 8,
+    most_known: int = 500_000,
 ) -> DataFrame:
     """Every n-gram a source shares with any text, with the number of texts that hold it.
 
-    Texts are counted per n-gram before any join, so no (text, source) pairs arise.
-    Only n-grams both sides hold are repeated per salt; sources are spread over the
-    salts, so an n-gram in a large part of the sources is not one task.
+    Texts' n-grams are held against the sources' first: up to ``most_known`` of these are broadcast, beyond that the join
+    is salted by text. Only what both sides hold is counted, per task first, so the counts' shuffle grows with the hits and no (text, source)
+    pairs arise. Counts are repeated per salt and sources spread over the salts, so an n-gram in a large part
+    of the sources is not one task.
     """
-    held = (
-        with_ngrams(texts, key, text, [n])
-        .select(F.explode("grams").alias("gram"))
-        .groupBy("gram")
-        .agg(F.count(F.lit(1)).alias("n_texts"))
-    )
     wanted = with_ngrams(sources, source_key, source_text, [n]).select(source_key, F.explode("grams").alias("gram"))
-    shared = held.join(wanted.select("gram").distinct(), "gram")
+    known = cut_lineage(wanted.select("gram").distinct())
+    grams = with_ngrams(texts, key, text, [n])
+    if known.count() <= most_known:
+        held = grams.select(F.explode("grams").alias("gram")).join(F.broadcast(known), "gram", "left_semi")
+    else:
+        by_text = F.pmod(F.xxhash64(key), F.lit(salts)).cast("int").alias("_salt")
+        each = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        held = grams.select(by_text, F.explode("grams").alias("gram")).join(each.hint("merge"), ["gram", "_salt"], "left_semi")
+    shared = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n_texts"))
     repeated = shared.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salt = F.pmod(F.xxhash64(source_key), F.lit(salts)).cast("int")
     return wanted.withColumn("_salt", salt).join(repeated, ["gram", "_salt"]).select(source_key, "gram", "n_texts")
