@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tests import brute
 from tidewatch.operators.decompose import COLUMNS, decompose, reconstruction
-from tidewatch.operators.ensemble import antithetic_realisations, ensemble_decompose, ensemble_mean, fit_components
+from tidewatch.operators import ensemble
+from tidewatch.operators.ensemble import antithetic_realisations, ensemble_decompose, ensemble_mean, fit_components, probe_realisations, probed_depth
 from tidewatch.operators.prepare import synthetic_series
 from tidewatch.operators.sift import sift_converged
 
@@ -70,6 +71,29 @@ def test_ensemble_keeps_every_row_and_adds_up(spark):
     assert out[out.series_id == "a"].sort_values("idx").c0.to_numpy() == pytest.approx(fast, abs=1e-6)
 
 
+def test_probed_depth_against_the_plain_version(spark, series):
+    lone = spark.createDataFrame([("five", i, float(v), 5, 4) for i, v in enumerate(wavy(5, 3))], series.schema)
+    both = series.unionByName(lone)
+    probes = probe_realisations(both, 3).cache()
+    want = {}
+    for (s, _), g in probes.toPandas().groupby(["series_id", "realisation"]):
+        want[s] = max(want.get(s, 3), len(sifted(g.sort_values("idx").v.to_numpy(), levels=5)))
+    assert {r.series_id: r.depth for r in probed_depth(both, 3, levels=5).collect()} == want and want["five"] == 3 < want["a"]
+    other = probe_realisations(both, 3, seed=2)
+    assert other.join(probes.withColumnRenamed("v", "u"), ["series_id", "idx", "realisation"]).where("abs(u - v) < 1e-9").count() < 5
+
+
+def test_ensemble_of_the_probed_depth(spark, series, monkeypatch):
+    """Every series has as many components as its probes show; zeros stand before the residual of the others."""
+    depths = spark.createDataFrame([("a", 3), ("b", 5)], "series_id string, depth int")
+    monkeypatch.setattr(ensemble, "probed_depth", lambda *args, **options: depths)
+    out = ensemble_decompose(series, None, 1, most_passes=3).toPandas()
+    parts = [f"c{j}" for j in range(5)]
+    assert np.abs(out[parts].sum(axis=1) - out.x).max() < 1e-6
+    a, b = out[out.series_id == "a"], out[out.series_id == "b"]
+    assert (a[["c2", "c3"]] == 0).all(axis=None) and a.c4.std() > 0 and (b[parts].std() > 0).all()
+
+
 def test_noise_is_reproducible_antithetic_and_scaled(series):
     runs = antithetic_realisations(series, 3, seed=5).cache()
     again = antithetic_realisations(series.repartition(7), 3, seed=5)

@@ -64,6 +64,17 @@ def test_patch_keeps_rows_missing_on_either_side(made):
     assert merged.where("series_id = 's0' and idx in (105, 110)").select("idx").distinct().count() == 2
 
 
+@pytest.mark.parametrize("stride", [1, 4, 50])
+def test_stride_reuses_the_latest_refit(made, stride):
+    df, good, _ = made
+    test = {(r.series_id, r.comp, r.idx): r for r in good.where("split = 'test'").collect()}
+    rows = walk_forward_windows(df, stride=stride, block_rows=16).where("split = 'test'").collect()
+    assert len(rows) == len(test)
+    for r in rows:
+        refit = r.test_start + stride * ((r.idx - r.test_start) // stride)
+        assert r.w == pytest.approx(test[r.series_id, r.comp, refit].w) and r.y == pytest.approx(test[r.series_id, r.comp, r.idx].y)
+
+
 def test_manifest_and_readiness(made):
     df, good, bad = made
     full = full_series_windows(df, trim_newest=1)

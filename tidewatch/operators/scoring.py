@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.losses import dm_aggregates, dm_statistic, error_metrics, loss_difference
 from tidewatch.functions.tdist import two_sided_p
-from tidewatch.operators.blocks import BLOCK_ROWS, at_home, lane, spread
+from tidewatch.operators.blocks import BLOCK_ROWS, at_home, home_block, lane, spread
 
 
 def score(forecasts: DataFrame, by: Sequence[str], y: str = "y", pred: str = "y_pred") -> DataFrame:
@@ -240,3 +240,54 @@ def component_scores(parts: DataFrame) -> DataFrame:
         F.sqrt(F.avg((y - last) * (y - last))).alias("rmse_persistence"),
         (F.stddev_pop(p) / F.nullif(F.stddev_pop(y), F.lit(0.0))).alias("std_ratio"),
     )
+
+
+def accuracy_table(forecasts: DataFrame, benchmarks: DataFrame, models: Sequence[str], inputs: str = "input_last") -> DataFrame:
+    """Accuracy on the dates that every protocol and model forecast: ``(series_id, kind, protocol, name, n, ..., dm, p)``.
+
+    Beside the models (``kind`` model) stand the benchmarks, and ``input persistence``: the added-up last values of a protocol's
+    input windows, which is what copying the input would score. Each has a row per series, models and benchmarks with their test against
+    persistence, and one over all series (``series_id`` is NULL, no test). One pass over the forecasts collects a date's
+    values, one aggregate with grouping sets scores them.
+
+    ``forecasts``: test rows (series_id, protocol, model, idx, y, y_pred, and ``inputs``); ``benchmarks``: wide rows of ``benchmark_forecasts``.
+    """
+    cells = [(p, m) for p in ("full_series", "walk_forward") for m in models]
+    named = lambda k: [(F.col("protocol") == p) & (F.col("model") == m) for p, m in cells][k]
+    dates = forecasts.groupBy("series_id", "idx").agg(
+        F.max("y").alias("y"),
+        *[F.max(F.when(named(k), F.col("y_pred"))).alias(f"_f{k}") for k in range(len(cells))],
+        *[F.max(F.when(F.col("protocol") == p, F.col(inputs))).alias(f"_i{j}") for j, p in enumerate(("full_series", "walk_forward"))],
+    )
+    for k in range(len(cells)):
+        dates = dates.where(F.col(f"_f{k}").isNotNull())
+    rows = dates.join(benchmarks.drop("y"), ["series_id", "idx"])
+    entry = lambda kind, protocol, name, value: F.struct(
+        F.lit(kind).alias("kind"), F.lit(protocol).cast("string").alias("protocol"), F.lit(name).alias("name"), F.col(value).alias("y_pred")
+    )
+    entries = [entry("benchmark", None, n, c) for n, c in (("Persistence", "persistence"), ("Drift", "drift"), ("MA-5", "ma5"), ("MA-20", "ma20"), ("EWMA-10", "ewma10"))]
+    entries += [entry("model", p, m, f"_f{k}") for k, (p, m) in enumerate(cells)]
+    entries += [entry("input persistence", p, "last value", f"_i{j}") for j, p in enumerate(("full_series", "walk_forward"))]
+    long = rows.select("series_id", "y", "persistence", F.inline(F.array(*entries)))
+    long = long.withColumn("d", loss_difference(F.col("y"), F.col("y_pred"), F.col("persistence")))
+    sets = [["series_id", "kind", "protocol", "name"], ["kind", "protocol", "name"]]
+    columns = [F.col(c) for c in sets[0]]
+    scored = long.groupingSets([[F.col(c) for c in s] for s in sets], *columns).agg(
+        F.grouping("series_id").alias("pooled"), F.count(F.lit(1)).alias("n"), *error_metrics(F.col("y"), F.col("y_pred")), *dm_aggregates("d")
+    )
+    tested = with_test(scored)
+    alone = (F.col("pooled") == 0) & (F.col("kind") != "input persistence")  # those are persistence itself but for rounding
+    return tested.withColumns({c: F.when(alone, F.col(c)) for c in ("dm", "p")}).drop("pooled")
+
+
+def worst_rows(forecasts: DataFrame, by: Sequence[str], k: int = 10, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The ``k`` rows with the largest absolute errors of every group, ties by ``idx``: ``(by, rank, idx, y, y_pred, error)``.
+
+    At most k rows of each block of a group are handed on, then at most k of the group: no sort of all rows.
+    """
+    rows = forecasts.select(*by, "idx", "y", "y_pred", F.abs(F.col("y") - F.col("y_pred")).alias("error")).where(F.col("error").isNotNull())
+    order = [F.desc("error"), F.asc("idx")]
+    first = Window.partitionBy(*by, "block").orderBy(*order)
+    few = rows.withColumn("block", home_block(block_rows)).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).drop("rank", "block")
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    return ranked.where(F.col("rank") <= k).select(*by, "rank", "idx", "y", "y_pred", "error")

@@ -15,6 +15,7 @@ from tidewatch.operators.diagnostics import (
 )
 from tidewatch.operators.forecast import MODELS
 from tidewatch.operators.scoring import (
+    accuracy_table,
     common_dates,
     comparison_table,
     component_scores,
@@ -22,10 +23,11 @@ from tidewatch.operators.scoring import (
     leakage_inflation,
     protocol_pairs,
     study_summary,
+    worst_rows,
 )
 from tidewatch.plans.inputs import both_windows, forecasts, parts, walk
 from tidewatch.plans.registry import fragment, query, using
-from tidewatch.plans.scored import p_value_sql, rounded
+from tidewatch.plans.scored import METRICS_SQL, p_value_sql, rounded
 from tidewatch.sources.tables import remembered
 
 fragment("fc_test", "fc", sql="SELECT * FROM fc WHERE split = 'test'")
@@ -334,3 +336,58 @@ def diag_skill_one_feature(spark, folder):
 )
 def boundary_amplitude_q(spark, folder):
     return rounded(boundary_amplitude(shared_features(spark, folder)), 2, ratio=6)
+
+
+_CELLS = [(p, m) for p in ("full_series", "walk_forward") for m in MODELS]
+_ENTRIES = [
+    *[("benchmark", "NULL", n, c) for n, c in (("Persistence", "persistence"), ("Drift", "drift"), ("MA-5", "ma5"), ("MA-20", "ma20"), ("EWMA-10", "ewma10"))],
+    *[("model", f"'{p}'", m, f"f_{p}_{m}") for p, m in _CELLS],
+    *[("input persistence", f"'{p}'", "last value", f"i_{p}") for p in ("full_series", "walk_forward")],
+]
+fragment(
+    "accuracy_rows",
+    "fc_test",
+    "walk_base",
+    sql=f"""SELECT series_id, d.y, persistence, unnest([{", ".join(f"'{e[0]}'" for e in _ENTRIES)}]) AS kind,
+    unnest([{", ".join(e[1] for e in _ENTRIES)}]) AS protocol, unnest([{", ".join(f"'{e[2]}'" for e in _ENTRIES)}]) AS name,
+    unnest([{", ".join(e[3] for e in _ENTRIES)}]) AS y_pred FROM (SELECT series_id, idx, max(y) AS y,
+      {", ".join(f"max(CASE WHEN protocol = '{p}' AND model = '{m}' THEN y_pred END) AS f_{p}_{m}" for p, m in _CELLS)},
+      {", ".join(f"max(CASE WHEN protocol = '{p}' THEN input_last END) AS i_{p}" for p in ("full_series", "walk_forward"))}
+      FROM fc_test GROUP BY 1, 2 HAVING count(*) = {len(_CELLS)}) d
+    JOIN (SELECT * EXCLUDE (protocol, y) FROM walk_base WHERE protocol = 'walk_forward') b USING (series_id, idx)""",
+)
+
+
+@query(
+    "accuracy_table",
+    sql=using(
+        "walk_base",
+        "accuracy_rows",
+        select=f"""SELECT series_id, kind, protocol, name, n, rmse, mae, mape, r2, CASE WHEN pooled = 0 AND kind <> 'input persistence' THEN round(dm, 4) END AS dm,
+    CASE WHEN pooled = 0 AND kind <> 'input persistence' THEN round({p_value_sql("dm", "(n - 1)")}, 6) END AS p FROM (
+    SELECT series_id, kind, protocol, name, grouping(series_id) AS pooled, count(*) AS n, {METRICS_SQL}, {dm_sql()} AS dm
+    FROM (SELECT *, (y - y_pred) ** 2 - (y - persistence) ** 2 AS d FROM accuracy_rows)
+    GROUP BY GROUPING SETS ((series_id, kind, protocol, name), (kind, protocol, name)))""",
+    ),
+)
+def accuracy_table_q(spark, folder):
+    """Models, benchmarks and input persistence on the dates that all of them forecast, per series and over all."""
+    found = accuracy_table(test_forecasts(spark, folder), benchmark_forecasts(walk(spark, folder)), MODELS)
+    return rounded(found, r2=6, dm=4, p=6)
+
+
+WORST = 7
+
+
+@query(
+    "worst_origins",
+    sql=using(
+        "fc_test",
+        select=f"""SELECT series_id, protocol, model, CAST(rank AS INTEGER) AS rank, idx, round(y, 2) AS y, round(y_pred, 2) AS y_pred, round(error, 2) AS error FROM (
+    SELECT *, abs(y - y_pred) AS error, row_number() OVER (PARTITION BY series_id, protocol, model ORDER BY abs(y - y_pred) DESC, idx) AS rank
+    FROM fc_test) WHERE rank <= {WORST}""",
+    ),
+)
+def worst_origins(spark, folder):
+    """The test rows with the largest errors of every series, protocol and model."""
+    return rounded(worst_rows(test_forecasts(spark, folder), ["series_id", "protocol", "model"], WORST), 2)
