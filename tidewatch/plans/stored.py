@@ -74,3 +74,26 @@ def result_round_trip(spark, folder):
     found = _summary(_components(spark, folder))
     sinks.write_result(found, path)
     return spark.read.schema(found.schema).json(path)
+
+
+@query(
+    "stored_series",
+    sql=using(
+        "walk",
+        select="""SELECT series_id, count(*) AS n, round(min(x), 2) AS least, round(max(x), 2) AS most, CAST(0 AS BIGINT) AS built_again FROM walk GROUP BY 1""",
+    ),
+)
+def stored_series(spark, folder):
+    """The level series stored by the fingerprint of the table they come from; asked for twice, built once."""
+    built = []
+
+    def build():
+        built.append(1)
+        return walk(spark, folder)
+
+    root = _place(spark)
+    for _ in range(2):
+        rows = sinks.read_or_build(spark, root, "walk", [f"{folder}/lineitem.parquet"], build)
+    return rows.groupBy("series_id").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.min("x"), 2).alias("least"), F.round(F.max("x"), 2).alias("most"), F.lit(len(built) - 1).cast("long").alias("built_again")
+    )

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -146,6 +147,30 @@ def version_record(spark: SparkSession, root: str, version: str) -> dict:
     return json.loads(_content(spark, f"{root}/_log/{version}.json"))
 
 
+def fingerprint(spark: SparkSession, paths: Sequence[str]) -> str:
+    """What identifies the present content of files and folders: every file's path, size and time of change."""
+    told = []
+    for path in paths:
+        files, target = _files(spark, path)
+        found = files.listFiles(target, True)
+        while found.hasNext():
+            one = found.next()
+            told.append(f"{one.getPath()}:{one.getLen()}:{one.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(told)).encode()).hexdigest()[:32]
+
+
+def read_or_build(spark: SparkSession, root: str, name: str, inputs: Sequence[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table that is stored under ``root`` and read from there until one of its ``inputs`` changes.
+
+    It is found by the fingerprint of the inputs, so any session that shares ``root`` reads what another has
+    stored. Tables of earlier contents stay beside it. Two sessions that build it at once store two versions of the same rows.
+    """
+    place = f"{root}/{name}-{fingerprint(spark, inputs)}"
+    if current_version(spark, place) is None:
+        replace_table(build(), place)
+    return read_table(spark, place)
+
+
 def _files(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
