@@ -1,5 +1,7 @@
 """Sifting to convergence, the ensemble around it, and the contract of the kernels."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -71,15 +73,15 @@ def test_ensemble_keeps_every_row_and_adds_up(spark):
     assert out[out.series_id == "a"].sort_values("idx").c0.to_numpy() == pytest.approx(fast, abs=1e-6)
 
 
-def test_probed_depth_against_the_plain_version(spark, series):
+def test_probed_depth_is_that_of_the_deepest_probe(spark, series):
     lone = spark.createDataFrame([("five", i, float(v), 5, 4) for i, v in enumerate(wavy(5, 3))], series.schema)
     both = series.unionByName(lone)
-    probes = probe_realisations(both, 3).cache()
-    want = {}
-    for (s, _), g in probes.toPandas().groupby(["series_id", "realisation"]):
-        want[s] = max(want.get(s, 3), len(sifted(g.sort_values("idx").v.to_numpy(), levels=5)))
-    assert {r.series_id: r.depth for r in probed_depth(both, 3, levels=5).collect()} == want and want["five"] == 3 < want["a"]
-    other = probe_realisations(both, 3, seed=2)
+    probes = probe_realisations(both, 2).cache()
+    found = sift_converged(probes, ["series_id", "realisation"], "v", levels=4).select("series_id", "realisation", "comp").distinct().collect()
+    count = Counter((r.series_id, r.realisation) for r in found)
+    want = {s: max(3, *(count[s, k] for k in range(2))) for s in ("a", "b", "five")}
+    assert {r.series_id: r.depth for r in probed_depth(both, 2, levels=4).collect()} == want and want["five"] == 3 < want["a"]
+    other = probe_realisations(both, 2, seed=2)
     assert other.join(probes.withColumnRenamed("v", "u"), ["series_id", "idx", "realisation"]).where("abs(u - v) < 1e-9").count() < 5
 
 
