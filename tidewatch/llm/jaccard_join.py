@@ -6,8 +6,8 @@ of a set are written, since one of them must hold every partner; the T - 1 long
 and occurrences are not counted. Candidates from the lists are compared in full, both texts' sets,
 and those that reach the required overlap are kept.
 
-* Lists are ordered short to long by their frequent shingles (counted over all texts; which of them
-  reach the bounded table changes the work, never the result), ties by hash.
+* Lists are ordered short to long by counters over all texts, which shingles share (a fixed number of them, so
+  other shingles blur a counter; that changes the work, never the result), ties by hash.
 * Equal sets are one candidate, found by a 128-bit key of the set.
 * A candidate pair is first compared by two sketches of four to eight bits per shingle, which bound from
   below how much the sets differ; only pairs that pass are compared in full.
@@ -45,12 +45,12 @@ from tidewatch.llm.spans import LOWER, WHITE, mix, shingle_hashes, slices, word_
 
 #: Nodes are hashes of texts modulo this.
 NODES = 1 << 61
-#: A shingle found in so many different sets of one stretch of a task is reported as frequent.
-LOCAL_SETS = 4
-#: Shingles of a stretch.
-STRETCH = 1 << 21
-#: Entries of the table of frequent shingles (16 bytes each) that orders the lists.
-FREQUENT = 100_000
+#: Shingles of a stretch, and postings of a batch that is handed on.
+STRETCH, POSTS = 1 << 20, 1 << 18
+#: Counters (a power of two) that all shingles of all texts share; they order the lists. Their size is fixed, whatever the input.
+FREQUENT = 1 << 22
+#: Counters travel in so many pieces.
+PIECES = 64
 #: A list of more members is dealt to several tasks.
 LIST_ROWS = 4096
 #: Rounds in which long lists are compared with one member.
@@ -107,47 +107,72 @@ _FIRST = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("id", pa.int64()
 _POST = pa.schema([("shingle", pa.int64()), ("salt", pa.int32()), ("k1", pa.int64())])
 
 
-def _survey(size: int):
-    """Rows of kind 0: a text's set size and key; of kind 1: a shingle that is frequent in a stretch, and its count."""
+def _survey(size: int, counters: int):
+    """Rows of kind 0: a text's set size and key; of kind 1: a piece of the task's counters of shingles in different sets."""
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         seen: set = set()
-        count = 0
-
-        def frequent():
-            if held:
-                found, times = np.unique(np.concatenate(held), return_counts=True)
-                found, times = found[times >= LOCAL_SETS], times[times >= LOCAL_SETS]
-                yield _batch({"kind": np.ones(len(found), np.int32), "doc": [None] * len(found), "id": np.zeros(len(found), np.int64), "n": times, "k1": found.astype(np.int64), "k2": np.zeros(len(found), np.int64), "sketch": [None] * len(found)}, _FIRST)
+        count, sums = 0, np.zeros(counters, np.int64)
 
         for batch in batches:
             ids, n, k1, k2, sketch = batch.column(0), [], [], [], []
             for _, own in sets_of(batch.column(1), size):
                 key = _key(own)
                 n.append(len(own)), k1.append(key[0]), k2.append(key[1]), sketch.append(odd_sketch(own) if len(own) else None)
-                if len(own) and key not in seen:
+                if counters and len(own) and key not in seen:
                     seen.add(key)
-                    held.append(own)
+                    held.append(_counter(own, counters))
                     count += len(own)
                 if count > STRETCH:
-                    yield from frequent()
+                    sums += np.bincount(np.concatenate(held), minlength=counters)
                     held, count = [], 0
                     seen.clear()
             yield _batch({"kind": np.zeros(len(n), np.int32), "doc": batch.column(2), "id": ids, "n": n, "k1": k1, "k2": k2, "sketch": sketch}, _FIRST)
-        yield from frequent()
+        if held:
+            sums += np.bincount(np.concatenate(held), minlength=counters)
+        if sums.any():
+            found = np.minimum(sums, 65535).astype("<u2").reshape(PIECES, -1)
+            blank = np.zeros(PIECES, np.int64)
+            yield _batch({"kind": np.ones(PIECES, np.int32), "doc": [None] * PIECES, "id": blank, "n": blank, "k1": np.arange(PIECES), "k2": blank, "sketch": [x.tobytes() for x in found]}, _FIRST)
 
     return survey
 
 
+def _counter(own: np.ndarray, counters: int) -> np.ndarray:
+    """The counter of each shingle."""
+    return (mix(own) & np.uint64(counters - 1)).astype(np.int64)
+
+
+def _summed_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (piece, counters), sorted by piece, to one row per piece with the sums."""
+    piece, sums = None, None
+    done = []
+    for batch in batches:
+        for at, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+            own = np.frombuffer(data.as_py(), "<u2").astype("<u4")
+            if at != piece and sums is not None:
+                done.append((piece, sums.tobytes()))
+                sums = None
+            piece, sums = at, own if sums is None else sums + own
+    if sums is not None:
+        done.append((piece, sums.tobytes()))
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in done], pa.int64()), pa.array([y for _, y in done], pa.binary())], names=["piece", "sums"])
+
+
 def _postings(size: int, percent: int, common, list_rows: int):
     """(shingle, salt, k1) for the short lists of each set, once per stretch of a task for equal sets."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, times = common.value
+        times = common.value
+        usual = int(np.median(times))  # what other shingles add to a counter
         seen: set = set()
+        shingles, keys, salts, held = [], [], [], 0
+
+        def posted() -> pa.RecordBatch:
+            return _batch({"shingle": np.concatenate(shingles).view(np.int64), "salt": np.concatenate(salts), "k1": np.concatenate(keys)}, _POST)
+
         for batch in batches:
-            shingles, keys, salts = [], [], []
             for _, own in sets_of(batch.column(1), size):
                 n = len(own)
                 if not n:
@@ -157,21 +182,23 @@ def _postings(size: int, percent: int, common, list_rows: int):
                     continue
                 seen.add(key)
                 short = n + (-percent * n // 100) + 1  # n - T + 1
-                salt = np.zeros(n, np.int32)
-                if len(tokens):
-                    at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
-                    often = np.where(tokens[at] == own, times[at], 0)
-                    if often.any():
-                        order = np.argsort(often, kind="stable")
-                        own, often = own[order], often[order]
-                        salt = ((key[0] & 0x7FFFFFFFFFFFFFFF) % np.maximum(often // list_rows + 1, 1) + (often > list_rows)).astype(np.int32)
-                shingles.append(own[:short])
-                salts.append(salt[:short])
+                often = times[_counter(own, len(times))]
+                # One order of all shingles for all sets: by counter, ties by hash.
+                order = np.argsort(often, kind="stable")[:short]
+                own, often = own[order], np.maximum(often[order].astype(np.int64) - usual, 0)
+                long = often > list_rows
+                parts = np.where(long, often // list_rows + 1, 1)
+                shingles.append(own)
+                salts.append(((key[0] & 0x7FFFFFFFFFFFFFFF) % parts + long).astype(np.int32))
                 keys.append(np.full(short, key[0], np.int64))
-            if len(seen) > 200_000:
+                held += short
+                if held > POSTS:
+                    yield posted()
+                    shingles, keys, salts, held = [], [], [], 0
+            if len(seen) > 50_000:
                 seen.clear()
-            if shingles:
-                yield _batch({"shingle": np.concatenate(shingles).view(np.int64), "salt": np.concatenate(salts), "k1": np.concatenate(keys)}, _POST)
+        if shingles:
+            yield posted()
 
     return post
 
@@ -303,14 +330,14 @@ def _grouped(
     """
     spark = docs.sparkSession
     rows = _keyed(docs, id_col, text_col)
-    first = stored(rows.mapInArrow(_survey(size), "kind int, doc long, id long, n long, k1 long, k2 long, sketch binary"))
+    first = stored(rows.mapInArrow(_survey(size, frequent), "kind int, doc long, id long, n long, k1 long, k2 long, sketch binary"))
     sets = first.where("kind = 0").select("doc", "id", "n", "k1", "k2")
 
-    # Which shingles are frequent; the table's size is bounded, and any table gives the same result.
-    table = first.where("kind = 1").groupBy("k1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "k1").limit(frequent).collect()
-    tokens = np.array([r["k1"] for r in table], np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    common = spark.sparkContext.broadcast((tokens[order], np.array([r["n"] for r in table], np.int64)[order]))
+    # How often shingles occur over all texts, by counters that they share; any counts give the same result.
+    pieces = first.where("kind = 1").select(F.col("k1").alias("piece"), "sketch").repartition("piece").sortWithinPartitions("piece")
+    table = pieces.mapInArrow(_summed_pieces, "piece long, sums binary").orderBy("piece").collect()  # 16 MB, whatever the input
+    times = np.frombuffer(b"".join(bytes(r["sums"]) for r in table), "<u4") if table else np.zeros(1, np.uint32)
+    common = spark.sparkContext.broadcast(times)
 
     classes = stored(first.where("kind = 0 and n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "doc")).alias("least"), F.any_value("sketch").alias("sketch"))
                      .select("k1", "k2", "n", F.col("least.id").alias("node"), F.col("least.doc").alias("doc"), "sketch"))

@@ -34,6 +34,9 @@ SAMPLE = 4000
 RANK, NEIGHBOURS, SHARPNESS = 48, 25, 12.0
 THRESHOLD = 0.7
 
+#: Rows of a slice: each has a line of all terms, however short its text.
+SLICE_ROWS = 1024
+
 #: Character classes: 0 white, 1 newline, 2 small letter or any byte beyond ASCII, 3 capital, 4 digit, then the punctuation signs.
 _CLASS = np.full(256, 2, np.int64)
 _CLASS[byte_set((0, 32))] = 0
@@ -62,7 +65,7 @@ def _earlier(hashes: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
 
 def frequencies(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
     """(first row, last row + 1, rows x terms): damped relative frequencies."""
-    for first, last, data, offsets in slices(column, 1 << 20):
+    for first, last, data, offsets in slices(column, 1 << 20, SLICE_ROWS):
         n = last - first
         kind = _CLASS[data]
         owner = np.repeat(np.arange(n), np.diff(offsets))
