@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -134,6 +135,62 @@ def test_near_duplicates_keeps_one(docs):
     assert 1 in left and not left & {2, 3}
 
 
+def test_only_texts_of_close_pairs_are_fetched(spark, monkeypatch):
+    """Sixty texts share a line each with another and are otherwise different; two are near copies."""
+    held = [(k, " ".join(f"w{k}x{j}" for j in range(40)) + f" one line that texts share number {k // 2} of thirty") for k in range(60)]
+    held += [(100 + k, " ".join(f"near{j}" for j in range(60)) + f" end {k}") for k in range(2)]
+    fetched = []
+    keep = jaccard_join.stored
+
+    def noted(df):
+        table = keep(df)
+        if "text" in table.columns:
+            fetched.append(table)
+        return table
+
+    monkeypatch.setattr(jaccard_join, "stored", noted)
+    got = rows(jaccard_join.near_duplicates(spark.createDataFrame(held, "doc_id long, text string")), "doc_id", "n_shingles", "component_id")
+    odd.same(got, brute.near_duplicates(held))
+    assert sum(t.count() for t in fetched) == 2
+
+
+def test_reach_holds_for_every_link():
+    """Of two linked sets, some list holds both within reach of each other; and reach leaves most others out."""
+    rng = np.random.default_rng(8)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for k in range(150):
+        own = base[: int(rng.integers(90, 121))]
+        for j in rng.integers(0, len(own), rng.integers(0, 4)):
+            own[j] = f"x{k}y{j}"
+        texts.append(" ".join(own))
+    common = SimpleNamespace(value=rng.integers(0, 5, 256).astype(np.uint32))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    posts = [r for b in jaccard_join._postings(5, 80, common, 4096)(iter([batch])) for r in b.to_pylist()]
+    sets = {jaccard_join._key(own)[0]: set(own.tolist()) for _, own in jaccard_join.sets_of(batch.column(1), 5)}
+    lists = {}
+    for r in posts:
+        assert r["n"] == len(sets[r["k1"]])
+        lists.setdefault(r["shingle"], []).append(r)
+    near = {frozenset((x["k1"], y["k1"])) for held in lists.values() for x, y in itertools.combinations(held, 2) if x["n"] <= y["reach"] and y["n"] <= x["reach"]}
+    links = {frozenset((x, y)) for x, y in itertools.combinations(sets, 2) if 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])}
+    assert links and links <= near < {frozenset(p) for p in itertools.combinations(sets, 2)}
+
+
+def test_lists_left_open_are_named():
+    """A list is named when it holds close pairs beside those of nearest members; with none or one it is not."""
+    base = np.arange(100, dtype=np.uint64) * np.uint64(11400714819323198485)
+    near = [np.sort(np.concatenate([base, [np.uint64(k + 1)]])) for k in range(4)]
+    other = np.sort(base ^ np.uint64(0x5555555555555555))
+    held = [(1, near[:4]), (2, near[:2]), (3, [near[0], other])]
+    table = [(shingle, 0, 0, k, k, len(own), 0, jaccard_join.odd_sketch(own)) for shingle, sets in held for k, own in enumerate(sets)]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*table), types)], names=list("abcdefgh"))
+    found = [r for b in jaccard_join._search_lists(80, True)(iter([batch])) for r in b.to_pylist()]
+    assert [(r["shingle"], r["p"], r["q"]) for r in found if r["a"] is None] == [(1, 0, 0)]
+    assert (0, 1) in {(r["a"], r["b"]) for r in found}
+
+
 def test_sketches_bound_differences():
     rng = np.random.default_rng(3)
     for _ in range(300):

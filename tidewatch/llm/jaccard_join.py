@@ -6,6 +6,10 @@ of a set are written, since one of them must hold every partner; the T - 1 long
 and occurrences are not counted. Candidates from the lists are compared in full, both texts' sets,
 and those that reach the required overlap are kept.
 
+A posting also says how large a partner may be: at the first shingle that two sets share in the common order, neither has
+fewer shingles left than they must share. Members of a list that are in reach of no other member are not kept; a list that is dealt
+to several tasks keeps all.
+
 * Lists are ordered short to long by counters over all texts, which shingles share (a fixed number of them, so
   other shingles blur a counter; that changes the work, never the result), ties by hash.
 * Equal sets are one candidate, found by a 128-bit key of the set.
@@ -32,7 +36,7 @@ and each pair of parts is one piece of work that hands on sums, so no list of pa
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -104,7 +108,7 @@ def _batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
 
 
 _FIRST = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sketch", pa.binary())])
-_POST = pa.schema([("shingle", pa.int64()), ("salt", pa.int32()), ("k1", pa.int64())])
+_POST = pa.schema([("shingle", pa.int64()), ("salt", pa.int32()), ("k1", pa.int64()), ("n", pa.int32()), ("reach", pa.int32())])
 
 
 def _survey(size: int, counters: int):
@@ -161,16 +165,21 @@ def _summed_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _postings(size: int, percent: int, common, list_rows: int):
-    """(shingle, salt, k1) for the short lists of each set, once per stretch of a task for equal sets."""
+    """(shingle, salt, k1, n, reach) for the short lists of each set, once per stretch of a task for equal sets.
+
+    ``reach`` is the largest set that may link with this one and share this shingle as the first of all; rounded up, so that it repeats.
+    """
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times = common.value
         usual = int(np.median(times))  # what other shingles add to a counter
         seen: set = set()
-        shingles, keys, salts, held = [], [], [], 0
+        shingles, keys, salts, sizes, reaches, held = [], [], [], [], [], 0
 
         def posted() -> pa.RecordBatch:
-            return _batch({"shingle": np.concatenate(shingles).view(np.int64), "salt": np.concatenate(salts), "k1": np.concatenate(keys)}, _POST)
+            return _batch(
+                {"shingle": np.concatenate(shingles).view(np.int64), "salt": np.concatenate(salts), "k1": np.concatenate(keys), "n": np.concatenate(sizes), "reach": np.concatenate(reaches)}, _POST
+            )
 
         for batch in batches:
             for _, own in sets_of(batch.column(1), size):
@@ -191,10 +200,14 @@ def _postings(size: int, percent: int, common, list_rows: int):
                 shingles.append(own)
                 salts.append(((key[0] & 0x7FFFFFFFFFFFFFFF) % parts + long).astype(np.int32))
                 keys.append(np.full(short, key[0], np.int64))
+                sizes.append(np.full(short, n, np.int32))
+                step = n // 32 + 1
+                reach = (n - np.arange(short)) * (100 + percent) // percent - n
+                reaches.append((-(-reach // step) * step).astype(np.int32))
                 held += short
                 if held > POSTS:
                     yield posted()
-                    shingles, keys, salts, held = [], [], [], 0
+                    shingles, keys, salts, sizes, reaches, held = [], [], [], [], [], 0
             if len(seen) > 50_000:
                 seen.clear()
         if shingles:
@@ -239,11 +252,12 @@ def _close(percent: int):
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _close_in_list(node, label, n, side, sketch, percent: int, nearest: bool):
+def _close_in_list(node, label, n, side, sketch, percent: int, nearest: bool) -> tuple[set, bool]:
     """Pairs of members of one list, of two components, whose sketches are close; of two parts if there are two sides.
 
-    With ``nearest``, one pair for each member that has any: that with the closest other.
+    With ``nearest``, one pair for each member that has any: that with the closest other. Also whether there are more pairs than these.
     """
+    found, count = set(), 0
     order = np.argsort(n, kind="stable")
     node, label, n, side, sketch = node[order], label[order], n[order], side[order], [sketch[k] for k in order]
     length = np.array([len(x) for x in sketch])
@@ -268,9 +282,9 @@ def _close_in_list(node, label, n, side, sketch, percent: int, nearest: bool):
                 differ = np.bitwise_count(table[size][place[some]] ^ mine).sum(1, dtype=np.int64)
                 close = (100 + percent) * differ <= (100 - percent) * (n[k] + n[some])
                 some, differ = some[close], differ[close]
+                count += len(some)
                 if not nearest:
-                    for j in some:
-                        yield (node[k], node[j]) if node[k] < node[j] else (node[j], node[k])
+                    found.update((node[k], node[j]) if node[k] < node[j] else (node[j], node[k]) for j in some)
                 elif len(some):
                     better = differ < least[some]
                     least[some[better]], best[some[better]] = differ[better], k
@@ -278,25 +292,33 @@ def _close_in_list(node, label, n, side, sketch, percent: int, nearest: bool):
                         least[k], best[k] = differ.min(), some[differ.argmin()]
     for k in np.flatnonzero(best >= 0):
         a, b = node[k], node[best[k]]
-        yield (a, b) if a < b else (b, a)
+        found.add((a, b) if a < b else (b, a))
+    return found, count > len(found)
+
+
+_FOUND = pa.schema([*_PAIRS, ("shingle", pa.int64()), ("p", pa.int32()), ("q", pa.int32())])
 
 
 def _search_lists(percent: int, nearest: bool):
-    """Rows of lists, sorted by list, to the close pairs of each."""
+    """Rows of lists, sorted by list, to the close pairs (a, b) of each, and (shingle, p, q) of those that hold more close pairs."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def pairs(table: pa.Table):
+        def searched(table: pa.Table) -> pa.RecordBatch:
             key = np.stack([table.column(k).to_numpy() for k in range(3)])
             cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
             columns = [table.column(k).to_numpy() for k in range(3, 7)]
             sketch = table.column(7).to_pylist()
+            pairs, open_lists = set(), []
             for a, b in zip([0, *cuts], [*cuts, table.num_rows]):
-                yield from _close_in_list(*(c[a:b] for c in columns), sketch[a:b], percent, nearest)
-
-        def batch_of(found: set):
-            return _batch({"a": [x for x, _ in found], "b": [y for _, y in found]}, _PAIRS)
+                found, more = _close_in_list(*(c[a:b] for c in columns), sketch[a:b], percent, nearest)
+                pairs |= found
+                if more:
+                    open_lists.append(key[:, a])
+            no_list, no_pair = [None] * len(pairs), [None] * len(open_lists)
+            ends = {"a": [x for x, _ in pairs] + no_pair, "b": [y for _, y in pairs] + no_pair}
+            return _batch(ends | {c: no_list + [x[k] for x in open_lists] for k, c in enumerate(("shingle", "p", "q"))}, _FOUND)
 
         for batch in batches:
             held.append(batch)
@@ -306,10 +328,10 @@ def _search_lists(percent: int, nearest: bool):
             # the last list may go on in the next batch
             whole = int(turn[-1]) + 1 if len(turn) else 0
             if whole:
-                yield batch_of(set(pairs(table.slice(0, whole))))
+                yield searched(table.slice(0, whole))
             held = table.slice(whole).to_batches()
         if held:
-            yield batch_of(set(pairs(pa.Table.from_batches(held))))
+            yield searched(pa.Table.from_batches(held))
 
     return search
 
@@ -321,12 +343,12 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _grouped(
     docs: DataFrame, id_col: str, text_col: str, size: int = 5, percent: int = 80, frequent: int = FREQUENT, list_rows: int = LIST_ROWS, rounds: int = ROUNDS
-) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Three stored tables.
+) -> tuple[DataFrame, Callable[[DataFrame], DataFrame], DataFrame | None]:
+    """Two stored tables, and what fetches texts.
 
     (doc, id, n, node, root) of every row: its id, the hash of its text, its set's size and node, and the least node which
-    that reaches; no node and no root without words. (id, text) of every node that may have links. (node, root) of the nodes that
-    reach a lesser one; None if there are no links.
+    that reaches; no node and no root without words. A function from a stored table (node) to the stored (id, text) of these. (node, root) of
+    the nodes that reach a lesser one; None if there are no links.
     """
     spark = docs.sparkSession
     rows = _keyed(docs, id_col, text_col)
@@ -341,9 +363,13 @@ def _grouped(
 
     classes = stored(first.where("kind = 0 and n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "doc")).alias("least"), F.any_value("sketch").alias("sketch"))
                      .select("k1", "k2", "n", F.col("least.id").alias("node"), F.col("least.doc").alias("doc"), "sketch"))
-    posts = rows.select("id", "text").mapInArrow(_postings(size, percent, common, list_rows), "shingle long, salt int, k1 long")
-    listed = posts.withColumn("members", F.count("*").over(Window.partitionBy("shingle", "salt")))
-    listed = stored(listed.where("members > 1 or salt > 0").drop("members").distinct())
+    posts = rows.select("id", "text").mapInArrow(_postings(size, percent, common, list_rows), "shingle long, salt int, k1 long, n int, reach int")
+    # Equal sets of several stretches once; then those that a larger member may link with, or a smaller one.
+    by_size = Window.partitionBy("shingle", "salt").orderBy("n", "k1")
+    before = by_size.rowsBetween(Window.unboundedPreceding, -1)
+    listed = posts.withColumn("again", F.lag("k1").over(by_size) == F.col("k1")).where("again is null or not again")
+    listed = listed.select("*", F.lead("n").over(by_size).alias("next"), F.max("reach").over(before).alias("reached"), F.min("n").over(before).alias("least"))
+    listed = stored(listed.where("salt > 0 or next <= reach or (reached >= n and least <= reach)").select("shingle", "salt", "k1"))
     nodes = sized(classes.select("k1", "node", F.col("n").alias("n_set")))
     listed = listed.join(nodes, "k1").select("shingle", "salt", "node", "n_set").distinct()
     # Lists with the same members say the same: one of each is kept.
@@ -354,13 +380,20 @@ def _grouped(
     listed = stored(listed.join(chosen, "shingle", "left_semi"))
 
     wanted = sized(stored(listed.select("node").distinct()))
-    source = sized(stored(classes.join(wanted, "node", "left_semi").select("node", F.col("doc").alias("of"))))
-    texts = stored(rows.join(source, (rows["id"] == source["node"]) & rows["doc"].eqNullSafe(source["of"]), "left_semi").select("id", "text"))
-    if not texts.groupBy("id").count().where("count > 1").isEmpty():
-        texts = stored(texts.dropDuplicates(["id"]))  # rows that repeat both id and text
     sketches = stored(classes.join(wanted, "node", "left_semi").select("node", "n", "sketch"))
 
+    def texts_of(some: DataFrame) -> DataFrame:
+        source = sized(stored(classes.join(sized(some), "node", "left_semi").select("node", F.col("doc").alias("of"))))
+        texts = stored(rows.join(source, (rows["id"] == source["node"]) & rows["doc"].eqNullSafe(source["of"]), "left_semi").select("id", "text"))
+        if not texts.groupBy("id").count().where("count > 1").isEmpty():
+            texts = stored(texts.dropDuplicates(["id"]))  # rows that repeat both id and text
+        return texts
+
     def verified(near: DataFrame) -> DataFrame:
+        """The stored pairs (a, b) that reach the similarity; only their texts are fetched, from the rows themselves."""
+        if near.isEmpty():
+            return near
+        texts = texts_of(stored(near.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
         x, y = (texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
         both = near.join(x, "a").join(y, "b").select("a", "b", "ta", "tb")
         return stored(both.mapInArrow(_verify(size, percent), "a long, b long"))
@@ -390,15 +423,24 @@ def _grouped(
         roots = grown(roots, linked(pairs))
         current = _mixed(listed, roots)
     # Whatever is still apart on one list: each pair of its parts is one piece of work. First every member is
-    # compared with its nearest of another component, which joins most that belong together; then all that are left.
+    # compared with its nearest of another component, which joins most that belong together; then all that are left, in those
+    # pieces that hold more close pairs than the nearest ones.
+    pieces = None
     for nearest in (True, False):
         parts = current.groupBy("shingle").agg(F.array_sort(F.collect_set("salt")).alias("salts"))
         rest = current.join(parts, "shingle").withColumn("o", F.explode("salts"))
         rest = rest.select("shingle", F.least("salt", "o").alias("p"), F.greatest("salt", "o").alias("q"), "node", "label", F.col("salt").alias("side"))
+        if pieces is not None:
+            rest = rest.join(pieces, ["shingle", "p", "q"], "left_semi")
         rest = rest.join(sketches, "node").select("shingle", "p", "q", "node", "label", "n", "side", "sketch")
         rest = rest.repartition("shingle", "p", "q").sortWithinPartitions("shingle", "p", "q")
-        roots = grown(roots, verified(stored(rest.mapInArrow(_search_lists(percent, nearest), "a long, b long").distinct())))
+        searched = stored(rest.mapInArrow(_search_lists(percent, nearest), "a long, b long, shingle long, p int, q int"))
+        roots = grown(roots, verified(stored(searched.where("a is not null").select("a", "b").distinct())))
         if nearest:
+            pieces = stored(searched.where("a is null").select("shingle", "p", "q"))
+            if pieces.isEmpty():
+                break
+            pieces = sized(pieces)
             current = _mixed(listed, roots)
 
     sizes = classes.select("k1", "k2", "n", "node")
@@ -408,7 +450,7 @@ def _grouped(
     else:
         sizes = sizes.withColumn("root", F.col("node"))
     found = stored(sets.join(sized(stored(sizes)), ["k1", "k2", "n"], "left").select("doc", "id", "n", "node", "root"))
-    return found, texts, roots
+    return found, texts_of, roots
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -494,7 +536,7 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A class are the rows with one set, known by their least id (null if none has one); ``n_links`` are all other rows that reach
     the similarity, those of the class included. Rows count, also those that repeat an id. A row without words is a class of its own.
     """
-    found, texts, roots = _grouped(docs, id_col, text_col, **options)
+    found, texts_of, roots = _grouped(docs, id_col, text_col, **options)
     classes = found.where("node is not null").groupBy("node").agg(F.min("doc").alias("class_id"), F.count("*").alias("class_size"))
     if roots is None:
         classes = classes.withColumn("links", F.lit(0).cast("long"))
@@ -504,6 +546,7 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         dealt = sized(stored(roots.groupBy("root").agg((F.count("*") / part + 1).cast("int").alias("parts"))))
         members = members.join(dealt, "root").withColumn("side", F.pmod(F.xxhash64("node", F.lit(part)), F.col("parts")).cast("int"))
         members = stored(members.join(sized(classes), "node").select("root", "node", F.col("class_size").alias("weight"), "side", "parts"))
+        texts = texts_of(stored(members.select("node")))
         pieces = members.join(texts, members["node"] == texts["id"]).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         pieces = pieces.select("root", F.least("side", "o").alias("p"), F.greatest("side", "o").alias("q"), "node", "weight", "side", "text")
         pieces = pieces.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q")
