@@ -115,9 +115,8 @@ def _survey(size: int, counters: int):
     """Rows of kind 0: a text's set size and key; of kind 1: a piece of the task's counters of shingles in different sets."""
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
         seen: set = set()
-        count, sums = 0, np.zeros(counters, np.int64)
+        count, sums = 0, np.zeros(counters, np.uint32)
 
         for batch in batches:
             ids, n, k1, k2, sketch = batch.column(0), [], [], [], []
@@ -126,17 +125,14 @@ def _survey(size: int, counters: int):
                 n.append(len(own)), k1.append(key[0]), k2.append(key[1]), sketch.append(odd_sketch(own) if len(own) else None)
                 if counters and len(own) and key not in seen:
                     seen.add(key)
-                    held.append(_counter(own, counters))
+                    np.add.at(sums, _counter(own, counters), np.uint32(1))
                     count += len(own)
                 if count > STRETCH:
-                    sums += np.bincount(np.concatenate(held), minlength=counters)
-                    held, count = [], 0
+                    count = 0
                     seen.clear()
             yield _batch({"kind": np.zeros(len(n), np.int32), "doc": batch.column(2), "id": ids, "n": n, "k1": k1, "k2": k2, "sketch": sketch}, _FIRST)
-        if held:
-            sums += np.bincount(np.concatenate(held), minlength=counters)
         if sums.any():
-            found = np.minimum(sums, 65535).astype("<u2").reshape(PIECES, -1)
+            found = np.minimum(sums, 65535, out=sums).astype("<u2").reshape(PIECES, -1)
             blank = np.zeros(PIECES, np.int64)
             yield _batch({"kind": np.ones(PIECES, np.int32), "doc": [None] * PIECES, "id": blank, "n": blank, "k1": np.arange(PIECES), "k2": blank, "sketch": [x.tobytes() for x in found]}, _FIRST)
 
