@@ -136,7 +136,7 @@ def test_near_duplicates_keeps_one(docs):
 
 
 def test_only_texts_of_close_pairs_are_fetched(spark, monkeypatch):
-    """Sixty texts share a line each with another and are otherwise different; two are near copies."""
+    """Sixty texts share a line each with another and are otherwise different; two are near copies. Without counters shared shingles are posted too."""
     held = [(k, " ".join(f"w{k}x{j}" for j in range(40)) + f" one line that texts share number {k // 2} of thirty") for k in range(60)]
     held += [(100 + k, " ".join(f"near{j}" for j in range(60)) + f" end {k}") for k in range(2)]
     fetched = []
@@ -149,7 +149,7 @@ def test_only_texts_of_close_pairs_are_fetched(spark, monkeypatch):
         return table
 
     monkeypatch.setattr(jaccard_join, "stored", noted)
-    got = rows(jaccard_join.near_duplicates(spark.createDataFrame(held, "doc_id long, text string")), "doc_id", "n_shingles", "component_id")
+    got = rows(jaccard_join.near_duplicates(spark.createDataFrame(held, "doc_id long, text string"), frequent=0), "doc_id", "n_shingles", "component_id")
     odd.same(got, brute.near_duplicates(held))
     assert sum(t.count() for t in fetched) == 2
 
