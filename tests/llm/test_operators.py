@@ -418,6 +418,20 @@ def test_packing(docs, none, size):
     assert packing.packed_documents(none, *paths, size=size).count() == 0
 
 
+def test_memory_of_a_task_that_meets_many_words():
+    import tracemalloc
+
+    encode = packing.encoder(vocabulary_file(JSON), vocabulary_file(RANKS))
+    letters = str.maketrans("0123456789", "qzxjkvwbpf")
+    most = 0
+    tracemalloc.start()
+    for first in range(0, 300_000, 10_000):
+        encode(" ".join(str(n * 7919).translate(letters) for n in range(first, first + 10_000)))
+        most = max(most, tracemalloc.get_traced_memory()[0])
+    tracemalloc.stop()
+    assert most < 48_000_000  # 300,000 different words
+
+
 def test_plan_is_best_fit_decreasing():
     rng = np.random.default_rng(1)
     for _ in range(60):
