@@ -154,6 +154,67 @@ def test_only_texts_of_close_pairs_are_fetched(spark, monkeypatch):
     assert sum(t.count() for t in fetched) == 2
 
 
+def test_texts_come_in_small_batches(spark, monkeypatch):
+    """However many rows a partition has, a task is handed few of them at once; the session keeps its own setting."""
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, survey = spark.conf.get(name), jaccard_join._survey
+
+    def watched(*options):
+        inner = survey(*options)
+        seen.append(spark.conf.get(name))
+
+        def run(batches):
+            def few():
+                for batch in batches:
+                    assert batch.num_rows <= 1024
+                    yield batch
+
+            return inner(few())
+
+        return run
+
+    monkeypatch.setattr(jaccard_join, "_survey", watched)
+    held = spark.range(3000).coalesce(1).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    assert jaccard_join.near_duplicates(held).where("component_id = doc_id").count() == 3000
+    assert len(seen) == 1 and int(before) > 1024 and spark.conf.get(name) == before
+
+
+@pytest.mark.parametrize("task, most", [("survey", 56), ("post", 56), ("terms", 32)])
+def test_memory_of_a_task_with_long_texts(monkeypatch, task, most):
+    """What arrays over 8 MB of texts take, without the texts: in MB."""
+    import tracemalloc
+
+    from tidewatch.llm import spans
+
+    monkeypatch.setattr(spans, "_powers", spans._Powers())
+    rng = np.random.default_rng(5)
+    made = [" ".join(f"w{x}" for x in rng.integers(0, 1 << 30, 1800)) for _ in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array(made), pa.array(range(400), pa.int64())], names=["id", "text", "doc"])
+    common = SimpleNamespace(value=np.ones(1 << 16, np.uint32))
+    tracemalloc.start()
+    if task == "survey":
+        done = sum(b.num_rows for b in jaccard_join._survey(5, 1 << 16)(iter([batch])))
+    elif task == "post":
+        done = sum(b.num_rows for b in jaccard_join._postings(5, 80, common, 4096)(iter([batch])))
+    else:
+        done = sum(last - first for first, last, _ in quality_votes.frequencies(batch.column(1)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert done >= 400 and peak < most * 1_000_000
+
+
+def test_quality_hands_each_text_over_once(spark, docs, monkeypatch):
+    """The text goes to Python inside the row or beside it, not both; a text that is no string goes beside it."""
+    marks = odd.labels(spark, [(d, int(d % 3 > 0), 0) for d in range(1, 22)])
+    scores = {(r["doc_id"], r["score"]) for r in quality_votes.quality_scores(docs, marks).collect()}
+    kept = quality_votes.without_rejected(docs, marks, threshold=0.5)
+    assert "coalesce" not in kept._jdf.queryExecution().analyzed().toString().split("MapInArrow")[1]
+    want = sorted((str(d) for d, s in scores if s >= 0.5))
+    assert sorted({str(r["doc_id"]) for r in kept.collect()}) == sorted(set(want))
+    raw = docs.withColumn("text", F.col("text").cast("binary"))
+    assert sorted({str(r["doc_id"]) for r in quality_votes.without_rejected(raw, marks, threshold=0.5).collect()}) == sorted(set(want))
+
+
 def test_reach_holds_for_every_link():
     """Of two linked sets, some list holds both within reach of each other; and reach leaves most others out."""
     rng = np.random.default_rng(8)

@@ -44,11 +44,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.links import components
-from tidewatch.llm.rows import id_and_text, sized, stored
+from tidewatch.llm.rows import id_and_text, sized, stored, stored_in_batches
 from tidewatch.llm.spans import LOWER, WHITE, mix, shingle_hashes, slices, word_hashes, words
 
 #: Nodes are hashes of texts modulo this.
 NODES = 1 << 61
+#: Bytes of texts that are taken at once; their words and hashes take some thirty times as much.
+SLICE = (1 << 19) - 1
 #: Shingles of a stretch, and postings of a batch that is handed on.
 STRETCH, POSTS = 1 << 20, 1 << 18
 #: Counters (a power of two) that all shingles of all texts share; they order the lists. Their size is fixed, whatever the input.
@@ -65,7 +67,7 @@ PART = 256
 
 def sets_of(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes) of each text."""
-    for first, last, data, offsets in slices(column):
+    for first, last, data, offsets in slices(column, SLICE):
         data = LOWER[data]
         starts, ends, begin = words(data, offsets, WHITE)
         shingles, texts = shingle_hashes(word_hashes(data, starts, ends), begin, size)
@@ -348,7 +350,7 @@ def _grouped(
     """
     spark = docs.sparkSession
     rows = _keyed(docs, id_col, text_col)
-    first = stored(rows.mapInArrow(_survey(size, frequent), "kind int, doc long, id long, n long, k1 long, k2 long, sketch binary"))
+    first = stored_in_batches(rows.mapInArrow(_survey(size, frequent), "kind int, doc long, id long, n long, k1 long, k2 long, sketch binary"))
     sets = first.where("kind = 0").select("doc", "id", "n", "k1", "k2")
 
     # How often shingles occur over all texts, by counters that they share; any counts give the same result.
@@ -365,7 +367,7 @@ def _grouped(
     before = by_size.rowsBetween(Window.unboundedPreceding, -1)
     listed = posts.withColumn("again", F.lag("k1").over(by_size) == F.col("k1")).where("again is null or not again")
     listed = listed.select("*", F.lead("n").over(by_size).alias("next"), F.max("reach").over(before).alias("reached"), F.min("n").over(before).alias("least"))
-    listed = stored(listed.where("salt > 0 or next <= reach or (reached >= n and least <= reach)").select("shingle", "salt", "k1"))
+    listed = stored_in_batches(listed.where("salt > 0 or next <= reach or (reached >= n and least <= reach)").select("shingle", "salt", "k1"))
     nodes = sized(classes.select("k1", "node", F.col("n").alias("n_set")))
     listed = listed.join(nodes, "k1").select("shingle", "salt", "node", "n_set").distinct()
     # Lists with the same members say the same: one of each is kept.
@@ -392,7 +394,7 @@ def _grouped(
         texts = texts_of(stored(near.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
         x, y = (texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
         both = near.join(x, "a").join(y, "b").select("a", "b", "ta", "tb")
-        return stored(both.mapInArrow(_verify(size, percent), "a long, b long"))
+        return stored_in_batches(both.mapInArrow(_verify(size, percent), "a long, b long"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that reach the similarity; texts are fetched only for those whose sketches are close."""
@@ -548,7 +550,7 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         pieces = pieces.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q")
         size, percent = options.get("size", 5), options.get("percent", 80)
         links = pieces.mapInArrow(_count_links(size, percent), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
-        classes = classes.join(sized(stored(links)), "node", "left").withColumn("links", F.coalesce("links", F.lit(0).cast("long")))
+        classes = classes.join(sized(stored_in_batches(links)), "node", "left").withColumn("links", F.coalesce("links", F.lit(0).cast("long")))
     out = found.select("doc", "n", "node").join(sized(stored(classes)), "node", "left")
     return out.select(
         F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc")).otherwise(F.col("class_id")).alias("class_id"),

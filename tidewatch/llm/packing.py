@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.rows import id_and_text, stored
+from tidewatch.llm.rows import id_and_text, stored_in_batches
 
 #: Ids of GPT-2's byte-level vocabulary (text of the public word-splitting rule; a fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -181,4 +181,4 @@ def pack(pieces: DataFrame, size: int = 1024, part_rows: int = 4096, most_parts:
 
 def packed_documents(docs: DataFrame, json_path: str, ranks_path: str, size: int = 1024, end_id: int = 2, **columns) -> DataFrame:
     """Tokenise, cut and pack: one row per piece with its sequence and offset."""
-    return pack(stored(token_pieces(docs, json_path, ranks_path, size, end_id, **columns)), size)
+    return pack(stored_in_batches(token_pieces(docs, json_path, ranks_path, size, end_id, **columns)), size)

@@ -34,8 +34,8 @@ SAMPLE = 4000
 RANK, NEIGHBOURS, SHARPNESS = 48, 25, 12.0
 THRESHOLD = 0.7
 
-#: Rows of a slice: each has a line of all terms, however short its text.
-SLICE_ROWS = 1024
+#: Bytes and rows of a slice: a byte takes some fifty, and each row has a line of all terms, however short its text.
+SLICE, SLICE_ROWS = 1 << 18, 256
 
 #: Character classes: 0 white, 1 newline, 2 small letter or any byte beyond ASCII, 3 capital, 4 digit, then the punctuation signs.
 _CLASS = np.full(256, 2, np.int64)
@@ -65,7 +65,7 @@ def _earlier(hashes: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
 
 def frequencies(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
     """(first row, last row + 1, rows x terms): damped relative frequencies."""
-    for first, last, data, offsets in slices(column, 1 << 20, SLICE_ROWS):
+    for first, last, data, offsets in slices(column, SLICE, SLICE_ROWS):
         n = last - first
         kind = _CLASS[data]
         owner = np.repeat(np.arange(n), np.diff(offsets))
@@ -119,8 +119,12 @@ def votes(vectors: np.ndarray, known: np.ndarray, labels: np.ndarray, neighbours
 def quality_scores(
     docs: DataFrame, labels: DataFrame, mod: int = 4, remainder: int = 2, sample: int = SAMPLE, rank: int = RANK,
     id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", extra: list[Column] | None = None,
+    field: int | None = None,
 ) -> DataFrame:
-    """(doc_id, held_out, score, and ``extra`` columns of ``docs``) of every document."""
+    """(doc_id, held_out, score, and ``extra`` columns of ``docs``) of every document.
+
+    ``field`` is the place of the text in the first of ``extra``, if that is a struct with the text as a string: so each text goes to Python once.
+    """
     spark = docs.sparkSession
     marked = labels.select(F.col(f"`{label_id}`").cast("long").alias("label_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
     marked = marked.where(F.col("label").isin(0, 1) & F.col("label_id").isNotNull() & ~held_out(F.col("label_id"), mod, remainder))
@@ -149,20 +153,22 @@ def quality_scores(
             out = np.ones(batch.num_rows)
             if shared.value is not None:
                 projection, known, marks = shared.value
-                for first, last, found in frequencies(batch.column("text")):
-                    for a in range(0, last - first, 512):
-                        out[first + a : min(first + a + 512, last)] = votes(_unit(found[a : a + 512] @ projection), known, marks)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(batch.num_columns - 1)), pa.array(out)], names=[*batch.schema.names[:-1], "score"])
+                for first, last, found in frequencies(batch.column("text") if field is None else batch.column(0).field(field)):
+                    out[first:last] = votes(_unit(found @ projection), known, marks)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out)], names=[*names, "score"])
 
     kept = [c.alias(f"extra{k}") for k, c in enumerate(extra or [])]
-    given = docs.select(*kept, F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    text = [F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")] if field is None else []
+    given = docs.select(*kept, F.col(f"`{id_col}`").cast("long").alias("doc_id"), *text)
     fields = [f"`{n}` {t}" for n, t in given.dtypes if n != "text"]
+    names = [n for n in given.columns if n != "text"]
     scored = given.mapInArrow(score, ", ".join([*fields, "score double"]))
     return scored.select("doc_id", held_out(F.col("doc_id"), mod, remainder).alias("held_out"), "score", *[f"extra{k}" for k in range(len(kept))])
 
 
-def without_rejected(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
+def without_rejected(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", **options) -> DataFrame:
     """``docs`` without those that score below ``threshold``."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    scored = quality_scores(docs, labels, extra=[whole], **options)
+    field = next((k for k, (c, kind) in enumerate(docs.dtypes) if c == text_col and kind == "string"), None)
+    scored = quality_scores(docs, labels, text_col=text_col, extra=[whole], field=field, **options)
     return scored.where(F.col("score") >= threshold).select("extra0.*")

@@ -9,6 +9,8 @@ from tidewatch.session import cut_lineage
 
 #: A side with at most so many rows of a few numbers each may be broadcast (some 20 MB); above it, joins shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Rows with whole texts that a Python task is handed at once, at most.
+TEXT_ROWS = 1024
 
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -24,6 +26,22 @@ def stored(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def stored_in_batches(df: DataFrame, rows: int = TEXT_ROWS) -> DataFrame:
+    """``df`` stored, while its Python tasks get at most ``rows`` rows at once (fewer where the session says so).
+
+    So neither they nor the executor beside them hold a partition's texts. The session's setting is as before afterwards.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(conf.get(name))
+    if 0 < before <= rows:
+        return stored(df)
+    conf.set(name, rows)
+    try:
+        return stored(df)
+    finally:
+        conf.set(name, before)
+
+
 def sized(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast of a *stored* table only when its counted rows are few; else leave the join to shuffle.
 

@@ -42,7 +42,7 @@ _BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd constant and of its inverse modulo 2**64."""
     if len(_powers.get("up", ())) < n:
-        size = max(n, SLICE_BYTES + (1 << 18))
+        size = n + n // 8  # slices are of much the same size
         for name, base in (("up", _ODD), ("down", _UNODD)):
             table = np.full(size, base, np.uint64)
             table[0] = 1
