@@ -179,6 +179,50 @@ def test_texts_come_in_small_batches(spark, monkeypatch):
     assert len(seen) == 1 and int(before) > 1024 and spark.conf.get(name) == before
 
 
+@pytest.fixture
+def strewn(spark):
+    """Shuffles have 40 partitions, however few their rows."""
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_small_tables_are_few_files(spark, monkeypatch, strewn):
+    """Tables of a few hundred rows after a shuffle; the postings and what searches the lists keep a file per task."""
+    held = [(k, " ".join(f"w{k // 3}x{j}" for j in range(40)) + f" end {k}") for k in range(300)]
+    files = {}
+    for module in (jaccard_join, links):
+        def noted(df, keep=module.stored):
+            table = keep(df)
+            files.setdefault(tuple(table.columns), []).append(len(table.inputFiles()))
+            return table
+
+        monkeypatch.setattr(module, "stored", noted)
+    got = rows(jaccard_join.near_duplicates(spark.createDataFrame(held, "doc_id long, text string")), "doc_id", "n_shingles", "component_id")
+    odd.same(got, [(k, 38, k // 3 * 3) for k in range(300)])
+    small = [n for columns, counts in files.items() if "text" not in columns for n in counts]
+    assert len(small) > 10 and max(n for n in small) <= 4 and max(files["u", "v"]) == 1
+
+
+def test_counters_of_few_texts_are_small():
+    """A task of three texts hands on some hundred counters, not all; the sums are those of plain counting."""
+    made = [" ".join(f"{x}{k}" for k in range(50)) for x in "abc"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3), pa.int64()), pa.array(made), pa.array(range(3), pa.int64())], names=["id", "text", "doc"])
+    for counters in (1 << 8, 1 << 22):
+        *_, pieces = jaccard_join._survey(5, counters)(iter([batch]))
+        assert sum(len(x) for x in pieces.column("sketch").to_pylist()) < 1000
+        twice = pa.RecordBatch.from_arrays([pieces.column("k1"), pieces.column("sketch")], names=["piece", "sketch"])
+        (found,) = jaccard_join._summed_pieces(counters)(iter([twice, twice]))
+        held = dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist()))
+        got = np.frombuffer(b"".join(held[k] for k in range(jaccard_join.PIECES)), "<u4")
+        own = np.concatenate([x for _, x in jaccard_join.sets_of(batch.column(1), 5)])
+        np.testing.assert_array_equal(got, 2 * np.bincount(jaccard_join._counter(own, counters), minlength=counters))
+
+
 @pytest.mark.parametrize("task, most", [("survey", 56), ("post", 56), ("terms", 32)])
 def test_memory_of_a_task_with_long_texts(monkeypatch, task, most):
     """What arrays over 8 MB of texts take, without the texts: in MB."""

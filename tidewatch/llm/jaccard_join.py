@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.links import components
-from tidewatch.llm.rows import id_and_text, sized, stored, stored_in_batches
+from tidewatch.llm.rows import FILE_TEXTS, few, id_and_text, sized, stored, stored_in_batches
 from tidewatch.llm.spans import LOWER, WHITE, mix, shingle_hashes, slices, word_hashes, words
 
 #: Nodes are hashes of texts modulo this.
@@ -135,8 +135,9 @@ def _survey(size: int, counters: int):
             yield _batch({"kind": np.zeros(len(n), np.int32), "doc": batch.column(2), "id": ids, "n": n, "k1": k1, "k2": k2, "sketch": sketch}, _FIRST)
         if sums.any():
             found = np.minimum(sums, 65535, out=sums).astype("<u2").reshape(PIECES, -1)
+            found = [_packed(x) for x in found]
             blank = np.zeros(PIECES, np.int64)
-            yield _batch({"kind": np.ones(PIECES, np.int32), "doc": [None] * PIECES, "id": blank, "n": blank, "k1": np.arange(PIECES), "k2": blank, "sketch": [x.tobytes() for x in found]}, _FIRST)
+            yield _batch({"kind": np.ones(PIECES, np.int32), "doc": [None] * PIECES, "id": blank, "n": blank, "k1": np.arange(PIECES), "k2": blank, "sketch": found}, _FIRST)
 
     return survey
 
@@ -146,20 +147,29 @@ def _counter(own: np.ndarray, counters: int) -> np.ndarray:
     return (mix(own) & np.uint64(counters - 1)).astype(np.int64)
 
 
-def _summed_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (piece, counters), sorted by piece, to one row per piece with the sums."""
-    piece, sums = None, None
-    done = []
-    for batch in batches:
-        for at, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-            own = np.frombuffer(data.as_py(), "<u2").astype("<u4")
-            if at != piece and sums is not None:
-                done.append((piece, sums.tobytes()))
-                sums = None
-            piece, sums = at, own if sums is None else sums + own
-    if sums is not None:
-        done.append((piece, sums.tobytes()))
-    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in done], pa.int64()), pa.array([y for _, y in done], pa.binary())], names=["piece", "sums"])
+def _packed(counts: np.ndarray) -> bytes:
+    """Counters of 16 bits: as they are, or the places and values of those that aren't 0 where that is shorter and places have 16 bits too."""
+    at = np.flatnonzero(counts)
+    return counts.tobytes() if 2 * len(at) >= len(counts) or len(counts) > 1 << 16 else np.concatenate([at.astype("<u2"), counts[at]]).tobytes()
+
+
+def _summed_pieces(counters: int):
+    """Rows (piece, packed counters) to one row per piece with the sums; a task holds one sum per piece."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = np.frombuffer(data.as_py(), "<u2")
+                total = sums.setdefault(piece, np.zeros(counters // PIECES, "<u4"))
+                if len(own) == len(total):
+                    total += own
+                else:
+                    at, counts = own.reshape(2, -1)
+                    total[at] += counts
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["piece", "sums"])
+
+    return add
 
 
 def _postings(size: int, percent: int, common, list_rows: int):
@@ -354,13 +364,15 @@ def _grouped(
     sets = first.where("kind = 0").select("doc", "id", "n", "k1", "k2")
 
     # How often shingles occur over all texts, by counters that they share; any counts give the same result.
-    pieces = first.where("kind = 1").select(F.col("k1").alias("piece"), "sketch").repartition("piece").sortWithinPartitions("piece")
-    table = pieces.mapInArrow(_summed_pieces, "piece long, sums binary").orderBy("piece").collect()  # 16 MB, whatever the input
-    times = np.frombuffer(b"".join(bytes(r["sums"]) for r in table), "<u4") if table else np.zeros(1, np.uint32)
+    pieces = first.where("kind = 1").select(F.col("k1").alias("piece"), "sketch").repartition("piece")
+    # A row may take 128 kB, and there is one per task and piece.
+    table = stored_in_batches(pieces.mapInArrow(_summed_pieces(frequent), "piece long, sums binary"), PIECES).collect()  # 16 MB, whatever the input
+    times = np.frombuffer(b"".join(bytes(r["sums"]) for r in sorted(table)), "<u4") if table else np.zeros(1, np.uint32)
     common = spark.sparkContext.broadcast(times)
 
-    classes = stored(first.where("kind = 0 and n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "doc")).alias("least"), F.any_value("sketch").alias("sketch"))
-                     .select("k1", "k2", "n", F.col("least.id").alias("node"), F.col("least.doc").alias("doc"), "sketch"))
+    n_rows = sets.count()
+    classes = first.where("kind = 0 and n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "doc")).alias("least"), F.any_value("sketch").alias("sketch"))
+    classes = stored(few(classes.select("k1", "k2", "n", F.col("least.id").alias("node"), F.col("least.doc").alias("doc"), "sketch"), n_rows))
     posts = rows.select("id", "text").mapInArrow(_postings(size, percent, common, list_rows), "shingle long, salt int, k1 long, n int, reach int")
     # Equal sets of several stretches once; then those that a larger member may link with, or a smaller one.
     by_size = Window.partitionBy("shingle", "salt").orderBy("n", "k1")
@@ -368,20 +380,21 @@ def _grouped(
     listed = posts.withColumn("again", F.lag("k1").over(by_size) == F.col("k1")).where("again is null or not again")
     listed = listed.select("*", F.lead("n").over(by_size).alias("next"), F.max("reach").over(before).alias("reached"), F.min("n").over(before).alias("least"))
     listed = stored_in_batches(listed.where("salt > 0 or next <= reach or (reached >= n and least <= reach)").select("shingle", "salt", "k1"))
-    nodes = sized(classes.select("k1", "node", F.col("n").alias("n_set")))
+    nodes, most = sized(classes.select("k1", "node", F.col("n").alias("n_set"))), listed.count()
     listed = listed.join(nodes, "k1").select("shingle", "salt", "node", "n_set").distinct()
     # Lists with the same members say the same: one of each is kept.
     whole = listed.groupBy("shingle").agg(
         F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("h"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(20,0)")).alias("g")
     )
     chosen = whole.where("c > 1").groupBy("c", "h", "g").agg(F.min("shingle").alias("shingle")).select("shingle")
-    listed = stored(listed.join(chosen, "shingle", "left_semi"))
+    listed = stored(few(listed.join(chosen, "shingle", "left_semi"), most))
+    most = listed.count()
 
-    wanted = sized(stored(listed.select("node").distinct()))
-    sketches = stored(classes.join(wanted, "node", "left_semi").select("node", "n", "sketch"))
+    wanted = sized(stored(few(listed.select("node").distinct(), most)))
+    sketches = stored(few(classes.join(wanted, "node", "left_semi").select("node", "n", "sketch"), n_rows))
 
     def texts_of(some: DataFrame) -> DataFrame:
-        source = sized(stored(classes.join(sized(some), "node", "left_semi").select("node", F.col("doc").alias("of"))))
+        source = sized(stored(few(classes.join(sized(some), "node", "left_semi").select("node", F.col("doc").alias("of")), some.count())))
         texts = stored(rows.join(source, (rows["id"] == source["node"]) & rows["doc"].eqNullSafe(source["of"]), "left_semi").select("id", "text"))
         if not texts.groupBy("id").count().where("count > 1").isEmpty():
             texts = stored(texts.dropDuplicates(["id"]))  # rows that repeat both id and text
@@ -389,18 +402,19 @@ def _grouped(
 
     def verified(near: DataFrame) -> DataFrame:
         """The stored pairs (a, b) that reach the similarity; only their texts are fetched, from the rows themselves."""
-        if near.isEmpty():
+        count = near.count()
+        if not count:
             return near
-        texts = texts_of(stored(near.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+        texts = texts_of(stored(few(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 2 * count)))
         x, y = (texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
-        both = near.join(x, "a").join(y, "b").select("a", "b", "ta", "tb")
+        both = few(near.join(x, "a").join(y, "b").select("a", "b", "ta", "tb"), count, FILE_TEXTS)
         return stored_in_batches(both.mapInArrow(_verify(size, percent), "a long, b long"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that reach the similarity; texts are fetched only for those whose sketches are close."""
         x, y = (sketches.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
-        near = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_close(percent), "a long, b long")
-        return verified(stored(near))
+        near = few(pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "sa", "sb"), 2 * most)  # a row of the lists is in two pairs at most
+        return verified(stored(near.mapInArrow(_close(percent), "a long, b long")))
 
     def grown(roots: DataFrame | None, new: DataFrame) -> DataFrame | None:
         if new.isEmpty():
@@ -419,7 +433,7 @@ def _grouped(
         stars = stars.select(F.col("node").alias("x"), F.col("label").alias("xl"), F.col("o.node").alias("y"), F.col("o.label").alias("yl"), "n_set", F.col("o.n_set").alias("o_set"))
         pairs = stars.unionByName(tops).where((F.col("xl") != F.col("yl")) & near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         roots = grown(roots, linked(pairs))
-        current = _mixed(listed, roots)
+        current = _mixed(listed, roots, most)
     # Whatever is still apart on one list: each pair of its parts is one piece of work. First every member is
     # compared with its nearest of another component, which joins most that belong together; then all that are left, in those
     # pieces that hold more close pairs than the nearest ones.
@@ -433,13 +447,14 @@ def _grouped(
         rest = rest.join(sketches, "node").select("shingle", "p", "q", "node", "label", "n", "side", "sketch")
         rest = rest.repartition("shingle", "p", "q").sortWithinPartitions("shingle", "p", "q")
         searched = stored(rest.mapInArrow(_search_lists(percent, nearest), "a long, b long, shingle long, p int, q int"))
-        roots = grown(roots, verified(stored(searched.where("a is not null").select("a", "b").distinct())))
+        count = searched.count()
+        roots = grown(roots, verified(stored(few(searched.where("a is not null").select("a", "b").distinct(), count))))
         if nearest:
-            pieces = stored(searched.where("a is null").select("shingle", "p", "q"))
+            pieces = stored(few(searched.where("a is null").select("shingle", "p", "q"), count))
             if pieces.isEmpty():
                 break
             pieces = sized(pieces)
-            current = _mixed(listed, roots)
+            current = _mixed(listed, roots, most)
 
     sizes = classes.select("k1", "k2", "n", "node")
     if roots is not None:
@@ -456,13 +471,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found, _, _ = _grouped(docs, id_col, text_col, **options)
     # An id with several texts is one node: the components of its texts are joined.
     shared = found.where("doc is not null").groupBy("doc").agg(F.min("root").alias("low"), F.max("root").alias("high"), (F.count("root") < F.count("*")).alias("blank"))
-    shared = stored(shared.where("low < high or low is not null and blank").select("doc", "low"))
+    n_rows = found.count()
+    shared = stored(few(shared.where("low < high or low is not null and blank").select("doc", "low"), n_rows))
     out = found.select("doc", "n", "root")
     if not shared.isEmpty():
         out = stored(out.join(sized(shared), "doc", "left"))
         merged = sized(stored(components(out.where("root > low").select(F.col("root").alias("a"), F.col("low").alias("b"))).withColumnRenamed("root", "top")))
         out = out.select("doc", "n", F.coalesce("root", "low").alias("node")).join(merged, "node", "left").select("doc", "n", F.coalesce("top", "node").alias("root"))
-    least = stored(out.where("root is not null").groupBy("root").agg(F.min("doc").alias("least"), F.count("*").alias("c")).where("c > 1").select("root", "least"))
+    least = out.where("root is not null").groupBy("root").agg(F.min("doc").alias("least"), F.count("*").alias("c")).where("c > 1").select("root", "least")
+    least = stored(few(least, n_rows))
     out = out.join(sized(least), "root", "left")
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "doc").alias("component_id"))
 
@@ -558,14 +575,14 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def _mixed(listed: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """The lists whose members are of more than one component, with each member's component."""
+def _mixed(listed: DataFrame, roots: DataFrame | None, most: int) -> DataFrame:
+    """The lists whose members are of more than one component, with each member's component; ``most`` rows at most."""
     if roots is None:
         labelled = listed.withColumn("label", F.col("node"))
     else:
         labelled = listed.join(sized(roots), "node", "left").select("shingle", "salt", "node", "n_set", F.coalesce("root", "node").alias("label"))
     several = labelled.groupBy("shingle").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("shingle")
-    return stored(labelled.join(several, "shingle", "left_semi"))
+    return stored(few(labelled.join(several, "shingle", "left_semi"), most))
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -577,10 +594,13 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     found, _, _ = _grouped(docs, id_col, text_col, **options)
     rank = F.struct(F.col("doc").isNull(), "doc", "id")
     best = found.where("root is not null").groupBy("root").agg(F.count("*").alias("c"), F.min(rank).alias("best"))
-    groups = stored(best.where("c > 1").select("root", F.col("best.doc").alias("keep_doc"), F.col("best.id").alias("keep_id")))
+    best = best.where("c > 1").select("root", F.col("best.doc").alias("keep_doc"), F.col("best.id").alias("keep_id"))
+    n_rows = found.count()
+    groups = stored(few(best, n_rows))
     first = F.col("doc").eqNullSafe(F.col("keep_doc")) & (F.col("id") == F.col("keep_id"))
     members = found.join(sized(groups), "root").groupBy("doc", "id").agg(F.bool_or(first).alias("kept"), F.count("*").alias("c"))
-    marked = stored(members.where("not kept or c > 1").select(F.col("doc").alias("_near_doc"), F.col("id").alias("_near_hash"), F.col("kept").alias("_near_kept")))
+    marked = members.where("not kept or c > 1").select(F.col("doc").alias("_near_doc"), F.col("id").alias("_near_hash"), F.col("kept").alias("_near_kept"))
+    marked = stored(few(marked, n_rows))
     text = F.coalesce(docs[f"`{text_col}`"].cast("string"), F.lit(""))
     same = docs[f"`{id_col}`"].cast("long").eqNullSafe(F.col("_near_doc")) & (F.pmod(F.xxhash64(text), F.lit(NODES)) == F.col("_near_hash"))
     if marked.where("_near_kept").isEmpty():

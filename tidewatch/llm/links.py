@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.rows import stored
+from tidewatch.llm.rows import few, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,14 +15,16 @@ def components(links: DataFrame) -> DataFrame:
     larger ones, then the smaller ones, until nothing changes; each round is written, and no round
     holds more links than there were. Null ends are ignored.
     """
-    edges = stored(links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    links = links.where("a is not null and b is not null and a <> b")
+    most = links.count()
+    edges = stored(few(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), most))
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
+        edges = stored(few(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), most))
         # Done when all are stars: every node hangs on one other, and on none that hangs itself.
         ends = edges.select("u", F.lit(1).alias("hangs"), F.lit(0).alias("holds"))
         ends = ends.unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))

@@ -11,6 +11,8 @@ from tidewatch.session import cut_lineage
 BROADCAST_ROWS = 1_000_000
 #: Rows with whole texts that a Python task is handed at once, at most.
 TEXT_ROWS = 1024
+#: Rows of a few numbers, or of two texts, that a task writes at least, if there are so many; each file costs an executor some processes on a local file system.
+FILE_ROWS, FILE_TEXTS = 8192, 1024
 
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -42,6 +44,14 @@ def stored_in_batches(df: DataFrame, rows: int = TEXT_ROWS) -> DataFrame:
         conf.set(name, before)
 
 
+def few(df: DataFrame, rows: int, each: int = FILE_ROWS) -> DataFrame:
+    """``df``, of at most ``rows`` rows, in no more partitions than one for every ``each`` of them.
+
+    So small tables aren't strewn over as many files as a shuffle has partitions; partitions grow in number with the rows.
+    """
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def sized(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast of a *stored* table only when its counted rows are few; else leave the join to shuffle.
 
